@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: The template's control strings. Open and close marks by role;
 #: any other role is written after ``[ROLE]`` and ends at ``[:]``.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -66,12 +68,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     )
     chats = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # A turn opens a block if the turn before it has another role.
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", F.greatest(i - 1, F.lit(0)))["role"])
-    )
-    chats = chats.withColumn("starts", starts)
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns")))
-    blocks = F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("z")), lambda s: F.slice("turns", s["a"] + 1, s["z"] - s["a"]))
+    opens = lambda ts, i: (i == 0) | (F.get(ts, i)["role"] != F.get(ts, F.greatest(i - 1, F.lit(0)))["role"])
+    starts = lambda ts: F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: opens(ts, i))
+    ends = lambda ts, a: F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(ts)))
+    cut = lambda ts, a: F.transform(F.arrays_zip(a.alias("a"), ends(ts, a).alias("z")), lambda s: F.slice(ts, s["a"] + 1, s["z"] - s["a"]))
+    blocks = let(F.col("turns"), lambda ts: let(starts(ts), lambda a: cut(ts, a)))
     chats = chats.select("conv_id", blocks.alias("blocks"))
     # Pieces in order; of an assistant's block the texts bear the loss.
     mine = lambda b: b[0]["role"] == "assistant"
@@ -121,4 +122,5 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, joined."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"].cast("int"), s["length"].cast("int")))), "")
+    text = lambda f: F.transform(spans, lambda s: unescape(F.substr(f, s["start"].cast("int"), s["length"].cast("int"))))
+    return let(formatted, lambda f: F.array_join(text(f), ""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, decontam, licenses, mixing, sharding, warc
 from .common import table
 
 SHARDS = 8
@@ -59,3 +59,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op8_sharding": op8_sharding,
 }
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages, with header and block digests."""
+    rows = warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return rows.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", F.sha2("header", 256).alias("header_sha256")
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exact or with other slot values."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or quoted in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES |= {"op2_warc": op2_warc, "op3_decontamination": op3_decontamination, "op7_licenses": op7_licenses}
