@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, mixing, sharding, warc
+from . import ann, chat, decontam, licenses, minhash, mixing, sharding, warc
 from .common import table
 
 SHARDS = 8
@@ -81,3 +81,17 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_warc": op2_warc, "op3_decontamination": op3_decontamination, "op7_licenses": op7_licenses}
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every 50th embedding, among all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), k=5)
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 4-word shingle sets are 0.8 alike."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
+QUERIES |= {"op9_ann": op9_ann, "op10_minhash": op10_minhash}
