@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, licenses, minhash, mixing, sharding, warc
+from . import ann, chat, decontam, licenses, minhash, mixing, sharding, suffix_dedup, toxicity, warc
 from .common import table
 
 SHARDS = 8
@@ -95,3 +95,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_ann": op9_ann, "op10_minhash": op10_minhash}
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents; labels of held-out rows aren't used."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes from all documents what a 100-byte string repeats."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES |= {"op4_toxicity": op4_toxicity, "op6_suffix_dedup": op6_suffix_dedup}
