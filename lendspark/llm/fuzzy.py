@@ -39,7 +39,7 @@ class FuzzyTrie:
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.ids: dict[tuple[tuple[int, int], ...], int] = {}
         self.moves: list[dict[str, int]] = []
-        self.found: list[str | None] = []
+        self.found: list[list[str]] = []
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -57,7 +57,7 @@ class FuzzyTrie:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            self.found.append(next((self.stem[n] for n, e in key if e == 0 and self.stem[n]), None))
+            self.found.append([self.stem[n] for n, e in key if e == 0 and self.stem[n]])
         return self.ids[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -73,18 +73,16 @@ class FuzzyTrie:
                 reach(kid, e if letter == c else e + 1)
         return self._state({n: e for n, e in nodes.items() if e <= self.reach[n]})
 
-    def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term, or None."""
-        state, stem = self.start, None
+    def match(self, word: str) -> tuple[tuple[str, int] | None, list[str]]:
+        """(term, edits) of the nearest term or None, and the stems that ``word`` begins with."""
+        state, stems = self.start, []
         for c in word:
             c = c if c in self.alphabet else ""
             moves = self.moves[state]
             state = moves[c] if c in moves else moves.setdefault(c, self._move(state, c))
-            stem = stem or self.found[state]
+            stems += self.found[state]
             if not self.states[state]:
                 break
         ends = [(e, self.end[n]) for n, e in self.states[state] if self.end[n] and e <= max_distance(self.end[n])]
         best = min(ends, default=None)
-        if best and (best[0] == 0 or not stem):
-            return best[1], best[0]
-        return (stem, 0) if stem else None
+        return ((best[1], best[0]) if best else None), stems

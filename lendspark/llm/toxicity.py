@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,12 +32,19 @@ ADDRESS = frozenset("you your yours u ur du dich dein ihr sie tu te vous toi tú
 LEET = str.maketrans("013457@$", "oieastas")
 
 #: Labelled rows that the lexicon and its weights are fitted on, at most: a sample by hash.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 
 #: Terms that the fit adds to the seeds, at most, each of which must add toxic texts that no other term has.
 MOST_TERMS = 500
 
-STEM_LENGTHS = (4, 5, 6)
+STEM_LENGTHS = (4, 5, 6, 7)
+MOST_TIMES = 4
+
+#: A stem is dense if one of so many words has it.
+DENSE = 150
+
+#: Share of toxic texts from which a kind of match decides.
+CLEAR = 0.85
 WINDOW = 4
 _WORD = re.compile(r"[\w@$]+")
 _SPAN = re.compile(r"[\w@$]+|[\"“”«»„]")
@@ -49,26 +57,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Matcher:
-    """Matches of a text: (term, edits, quoted)."""
+    """Matches of a text: (term, edits, quoted), and (stem*, times, dense)."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.trie = FuzzyTrie(words, stems)
-        self.known: dict[str, tuple[str, int] | None] = {}
+    def __init__(self, words: list[str], stems: dict[str, int]):
+        self.trie = FuzzyTrie(words, list(stems))
+        self.stems = stems
+        self.known: dict[str, tuple[tuple[str, int] | None, list[str]]] = {}
 
-    def word(self, w: str) -> tuple[str, int] | None:
+    def word(self, w: str) -> tuple[tuple[str, int] | None, list[str]]:
+        """The nearest term with its edits, and all stems that the word begins with."""
         if w not in self.known:
             if len(self.known) >= _CACHE:
                 self.known.clear()
-            found = self.trie.match(w)
+            found, stems = self.trie.match(w)
             if found is None and not w.isalpha():
                 plain = w.translate(LEET)
-                found = self.trie.match(plain) if plain != w else None
-            self.known[w] = found
+                found = self.trie.match(plain)[0] if plain != w else None
+            self.known[w] = found, stems
         return self.known[w]
 
     def text(self, text: str) -> set[tuple[str, int, bool]]:
         low = text.lower()
-        if not any(self.word(w) for w in set(_WORD.findall(low))):
+        hit = {w for w in set(_WORD.findall(low)) if any(self.word(w))}
+        if not hit:
             return set()
         parts, quote = [], False
         for p in _SPAN.findall(low):
@@ -76,20 +87,27 @@ class Matcher:
                 quote = p in "“«„" or (p == '"' and not quote)
             else:
                 parts.append((p, quote))
-        out = set()
+        out, times = set(), Counter()
         for k, (w, inside) in enumerate(parts):
-            found = self.word(w)
+            if w not in hit:
+                continue
+            found, stems = self.word(w)
+            times.update(stems)
             if found:
                 near = {p for p, _ in parts[max(0, k - WINDOW) : k + WINDOW + 1]}
                 out.add((*found, (inside or bool(near & REPORTING)) and not near & ADDRESS))
-        return out
-
-
-def _terms(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic texts, chosen greedily by the texts they add."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEM_LENGTHS]
-    features = sample.select("doc_id", "toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("f"))
+        return out | {(f"{s}*", min(n, MOST_TIMES), DENSE * n >= len(parts)) for s, n in times.items() if n >= self.stems[s]}
+
+
+def _terms(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], dict[str, int]]:
+    """Words, and stems with the times they must occur, that mark toxic texts; chosen greedily by the texts they add."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    stems = F.flatten(F.transform(words, lambda w: F.transform(F.array(*[F.lit(n) for n in STEM_LENGTHS]), lambda n: F.when(F.char_length(w) > n, F.concat(F.substr(w, F.lit(1), n), F.lit("*"))))))
+    whole = sample.select("doc_id", "toxic", F.explode(F.array_distinct(words)).alias("f"))
+    parts = sample.select("doc_id", "toxic", F.explode(F.array_compact(stems)).alias("f")).groupBy("doc_id", "toxic", "f").agg(F.least(F.count("*"), F.lit(MOST_TIMES)).alias("n"))
+    # "stem*", "stem**" and so on: the stem at least once, twice and so on.
+    parts = parts.select("doc_id", "toxic", "f", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
+    features = whole.unionByName(parts.select("doc_id", "toxic", F.concat("f", F.repeat(F.lit("*"), F.col("k"))).alias("f")))
     counts = features.groupBy("f").agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c"))
     least = max(3, math.ceil(0.002 * n_toxic))
     strong = counts.where((F.col("t") >= least) & ((F.col("t") + 1) / (F.col("t") + F.col("c") + 2) >= 0.8))
@@ -108,23 +126,33 @@ def _terms(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], li
         chosen.append(best)
         covered |= new
         left = {f: rest for f, ids in left.items() if len(rest := ids - new) >= least}
-    return [f for f in chosen if not f.endswith("*")], [f[:-1] for f in chosen if f.endswith("*")]
+    stems: dict[str, int] = {}
+    for f in (f for f in chosen if f.endswith("*")):
+        stem = f.rstrip("*")
+        stems[stem] = min(len(f) - len(stem), stems.get(stem, MOST_TIMES))
+    return [f for f in chosen if not f.endswith("*")], stems
+
+
+def prior(match: tuple[str, int, bool]) -> float:
+    """A match's share before labels: less for more edits and in quotations."""
+    return 0.5 if match[0].endswith("*") else 0.9 * 0.5 ** match[1] * (0.3 if match[2] else 1.0)
 
 
 class Model:
     """Words, stems and the share of toxic texts for each kind of match."""
 
-    def __init__(self, words: list[str], stems: list[str], shares: dict[tuple[str, int, bool], float], base: float):
+    def __init__(self, words: list[str], stems: dict[str, int], shares: dict[tuple[str, int, bool], float], base: float):
         self.words, self.stems, self.shares, self.base = words, stems, shares, base
-        self.added = set(words) - set(SEEDS) | set(stems)
 
     def score(self, matches: set[tuple[str, int, bool]]) -> float:
-        """The strongest match's share; each further one of over a half takes a tenth of what is left."""
-        shares = sorted((self.shares.get(m, 0.9 * 0.5 ** m[1] * (0.3 if m[2] else 1.0)) for m in matches), reverse=True)
+        """The strongest match's share; each further one of over a half takes a
+        tenth of what is left. A share under CLEAR doesn't make a text toxic."""
+        shares = sorted((self.shares.get(m, prior(m)) for m in matches), reverse=True)
         if not shares:
             return self.base
         more = sum(s > 0.5 for s in shares[1:])
-        return min(1.0, max(self.base, 1 - (1 - shares[0]) * 0.9**more))
+        top = 1 - (1 - shares[0]) * 0.9**more
+        return min(1.0, max(self.base, top if shares[0] >= CLEAR else 0.49 * top))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -144,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     sample = written(sample, "toxicity-sample")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n_toxic, n_clean = int(total["t"]), int(total["n"] - total["t"])
-    words, stems = _terms(sample, n_toxic, n_clean) if n_toxic else ([], [])
+    words, stems = _terms(sample, n_toxic, n_clean) if n_toxic else ([], {})
     words = list(dict.fromkeys([*SEEDS, *words]))
 
     def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         if r["term"] is None:
             base = min(0.4, (r["t"] + 0.1) / (r["n"] + 1))
         else:
-            prior = 0.9 * 0.5 ** r["edits"] * (0.3 if r["quoted"] else 1.0)
-            shares[(r["term"], r["edits"], r["quoted"])] = (r["t"] + 3 * prior) / (r["n"] + 3)
+            kind = (r["term"], r["edits"], r["quoted"])
+            shares[kind] = (r["t"] + 3 * prior(kind)) / (r["n"] + 3)
     return Model(words, stems, shares, base)
 
 
