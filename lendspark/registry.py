@@ -1,4 +1,6 @@
 """All queries of the credit-portfolio part and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
