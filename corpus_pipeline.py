@@ -1,14 +1,83 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark leaks, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame. ``run`` applies them to the documents table; the
+stages may also be run one by one with a written table between them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lendspark.llm import decontam, minhash, mixing, sharding, toxicity
+from lendspark.llm.common import table, written
+
+SHARDS = 8
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the toxicity model, fitted on the labels, doesn't reject.
+
+    Null texts have no matches and stay. Columns as in ``docs``.
+    """
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component: the one of smallest doc_id.
+
+    Sets of five-word shingles, similarity of at least 0.8. Texts without words
+    are their own components. Rows that share a kept doc_id all stay; rows
+    without doc_id have no component to stand for and go.
+    """
+    kept = minhash.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
+    return docs.join(kept.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no benchmark item, exact or with other slot values."""
+    leaks = decontam.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a document that it takes twice has two rows.
+
+    Words that are taken come to 150 % of those of ``docs``; documents without
+    words have none to take and go.
+    """
+    rows = written(docs.select(*docs.columns, mixing.n_words("text").alias("__size"), mixing.quality_weight(F.col("text")).alias("__weight")), "to-mix")
+    narrow = rows.select("doc_id", "source", "__size", "__weight")
+    taken = mixing.mix(narrow, size=F.col("__size"), weight=F.col("__weight")).where("taken > 0")
+    copies = taken.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__copies"))
+    mixed = rows.join(copies, "doc_id").where("__size > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds shard, by jump hash of doc_id, and slot, the row's place in it."""
+    placed = sharding.assign_shards(docs, "doc_id", SHARDS)
+    slots = sharding.number_slots(placed, "doc_id")
+    return slots.withColumn("slot", F.col("slot").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", place_in_shards),
+]
+
+#: The first two stages can't be said in SQL; the run is tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, in order, over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
