@@ -25,3 +25,71 @@ FROM o GROUP BY conv_id
 """
 
 ORACLES: dict[str, str] = {"op1_chat": OP1}
+
+_CRLF = "chr(13) || chr(10)"
+
+
+def _unreference(x: str) -> str:
+    for name, char in {"&nbsp;": "' '", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "'\"'", "&#39;": "''''", "&apos;": "''''", "&amp;": "'&'"}.items():
+        x = f"replace({x}, '{name}', {char})"
+    return x
+
+
+def _uuid(h: str) -> str:
+    at = lambda a, n: f"substr({h}, {a}, {n})"
+    return f"'<urn:uuid:' || {at(1, 8)} || '-' || {at(9, 4)} || '-5' || {at(14, 3)} || '-a' || {at(18, 3)} || '-' || {at(21, 12)} || '>'"
+
+
+def _gsub(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+
+
+_BREAKS = "p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|blockquote|pre|title|main|aside|form|hr"
+_TEXT = _gsub("html", "(?s)<!--.*?-->", "' '")
+_TEXT = _gsub(_TEXT, r"(?is)<(?:script|style|noscript)[^>]*>.*?</(?:script|style|noscript)[ \t\r\n]*>", "' '")
+_TEXT = _gsub(_TEXT, rf"(?i)</?(?:{_BREAKS})(?:[ \t\r\n/][^>]*)?>", "chr(10)")
+_TEXT = _unreference(_gsub(_TEXT, "<[^>]*>", "''"))
+_TEXT = _gsub(_gsub(_gsub(_TEXT, r"[ \t\r]+", "' '"), r" ?\n[ \n]*", "chr(10)"), r"^[ \n]+|[ \n]+$", "''")
+_TITLE = _gsub(_unreference("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"), r"[ \t\r\n]+", "' '")
+_LINKS = "list_transform(regexp_extract_all(html, '(?i)<a [^>]*href=\"([^\"]*)\"', 1), lambda x: 'outlink: ' || " + _unreference("x") + f" || {_CRLF})"
+
+OP2 = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, sha256('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || url || chr(10) || sha256(html)) AS h FROM p),
+d AS (SELECT page_id, url AS target_uri, {_uuid('h')} AS refers_to, 'sha256:' || sha256(html) AS payload_digest, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS ct, {_TEXT} AS block FROM r
+  UNION ALL SELECT page_id, url, {_uuid('h')}, 'sha256:' || sha256(html), 'metadata', 'application/warc-fields',
+    'title: ' || {_TITLE} || {_CRLF} || 'languages: ' || regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) || {_CRLF}
+    || 'source-HTTP/1.1 200 OK' || {_CRLF} || 'source-Content-Type: text/html; charset=utf-8' || {_CRLF} || 'source-Content-Length: ' || strlen(html) || {_CRLF}
+    || array_to_string({_LINKS}, '') FROM r),
+k AS (SELECT *, sha256(record_type || chr(10) || refers_to) AS h, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM d),
+o AS (SELECT *, {_uuid('h')} AS record_id FROM k)
+SELECT page_id, record_type, record_id, refers_to, target_uri, payload_digest, block_digest, content_length,
+  sha256('WARC/1.1' || {_CRLF} || 'WARC-Type: ' || record_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Date: 2024-01-01T00:00:00Z' || {_CRLF}
+    || 'WARC-Target-URI: ' || target_uri || {_CRLF} || 'WARC-Refers-To: ' || refers_to || {_CRLF} || 'WARC-Refers-To-Target-URI: ' || target_uri || {_CRLF}
+    || 'WARC-Refers-To-Date: 2024-01-01T00:00:00Z' || {_CRLF} || 'WARC-Payload-Digest: ' || payload_digest || {_CRLF} || 'WARC-Block-Digest: ' || block_digest || {_CRLF}
+    || 'Content-Type: ' || ct || {_CRLF} || 'Content-Length: ' || content_length || {_CRLF}) AS header_sha256
+FROM o
+"""
+
+ORACLES["op2_warc"] = OP2
+
+OP8 = """
+WITH RECURSIVE
+tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
+  FROM documents, tab),
+j AS (
+  SELECT id, n, CASE WHEN id < 0 THEN id::HUGEINT + 18446744073709551616 ELSE id::HUGEINT END AS k, -1::BIGINT AS b, 0::BIGINT AS j
+  FROM (SELECT DISTINCT coalesce(doc_id, 0) AS id FROM documents), (VALUES (8), (9)) s(n)
+  UNION ALL
+  SELECT id, n, k2, j, CAST(floor((j + 1) * (2147483648::DOUBLE / (k2 // 8589934592 + 1)::DOUBLE)) AS BIGINT)
+  FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM j WHERE j < n)),
+s AS (SELECT id, CAST(max(b) FILTER (n = 8) AS INT) AS shard, CAST(max(b) FILTER (n = 9) AS INT) AS grown_shard FROM j WHERE j >= n GROUP BY 1)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM d JOIN s ON s.id = coalesce(d.doc_id, 0)
+"""
+
+ORACLES["op8_sharding"] = OP8
