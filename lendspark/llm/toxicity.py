@@ -47,6 +47,7 @@ DENSE = 150
 CLEAR = 0.85
 WINDOW = 4
 _WORD = re.compile(r"[\w@$]+")
+_PLAIN = re.compile(r"\w+")
 _SPAN = re.compile(r"[\w@$]+|[\"“”«»„]")
 _CACHE = 500_000
 
@@ -99,20 +100,45 @@ class Matcher:
         return out | {(f"{s}*", min(n, MOST_TIMES), DENSE * n >= len(parts)) for s, n in times.items() if n >= self.stems[s]}
 
 
+def features(text: str) -> set[str]:
+    """The text's words, and its stems: "stem*", "stem**" and so on if a stem
+    occurs at least once, twice and so on."""
+    words = _PLAIN.findall(text.lower())
+    stems = Counter(w[:n] for w in words for n in STEM_LENGTHS if len(w) > n)
+    return {*words, *(s + "*" * k for s, n in stems.items() for k in range(1, min(n, MOST_TIMES) + 1))}
+
+
+def _counted(wanted: set[str] | None):
+    """Counts of texts by feature, of each 500 texts, so that little is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                counts: Counter = Counter()
+                for text in batch["text"].iloc[k : k + 500]:
+                    counts.update(features(text) if wanted is None else features(text) & wanted)
+                yield pd.DataFrame({"f": list(counts), "n": list(counts.values())})
+
+    return run
+
+
 def _terms(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], dict[str, int]]:
     """Words, and stems with the times they must occur, that mark toxic texts; chosen greedily by the texts they add."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    stems = F.flatten(F.transform(words, lambda w: F.transform(F.array(*[F.lit(n) for n in STEM_LENGTHS]), lambda n: F.when(F.char_length(w) > n, F.concat(F.substr(w, F.lit(1), n), F.lit("*"))))))
-    whole = sample.select("doc_id", "toxic", F.explode(F.array_distinct(words)).alias("f"))
-    parts = sample.select("doc_id", "toxic", F.explode(F.array_compact(stems)).alias("f")).groupBy("doc_id", "toxic", "f").agg(F.least(F.count("*"), F.lit(MOST_TIMES)).alias("n"))
-    # "stem*", "stem**" and so on: the stem at least once, twice and so on.
-    parts = parts.select("doc_id", "toxic", "f", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
-    features = whole.unionByName(parts.select("doc_id", "toxic", F.concat("f", F.repeat(F.lit("*"), F.col("k"))).alias("f")))
-    counts = features.groupBy("f").agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c"))
+    toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
     least = max(3, math.ceil(0.002 * n_toxic))
-    strong = counts.where((F.col("t") >= least) & ((F.col("t") + 1) / (F.col("t") + F.col("c") + 2) >= 0.8))
-    strong = strong.orderBy(F.desc("t"), "c", F.length("f"), "f").limit(20 * MOST_TERMS)
-    pairs = features.where("toxic = 1").join(F.broadcast(strong.select("f")), "f").groupBy("f").agg(F.collect_set("doc_id").alias("ids"))
+    count = lambda df, wanted: df.select("text").mapInPandas(_counted(wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    # The sample is bounded, and so are its toxic texts and their features.
+    seen = {r["f"]: r["n"] for r in count(toxic, None).where(F.col("n") >= least).collect()}
+    in_clean = {r["f"]: r["n"] for r in count(clean, set(seen)).collect()} if n_clean else {}
+    ranked = sorted((-t, in_clean.get(f, 0), len(f), f) for f, t in seen.items() if (t + 1) / (t + in_clean.get(f, 0) + 2) >= 0.8)
+    strong = {f for _, _, _, f in ranked[: 20 * MOST_TERMS]}
+
+    def having(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, i) for i, text in zip(batch["doc_id"], batch["text"], strict=True) for f in features(text) & strong]
+            yield pd.DataFrame(rows, columns=["f", "doc_id"])
+
+    pairs = toxic.select("doc_id", "text").mapInPandas(having, "f string, doc_id long").groupBy("f").agg(F.collect_set("doc_id").alias("ids"))
     left = {r["f"]: set(r["ids"]) for r in pairs.collect()}
     chosen: list[str] = []
     covered: set[int] = set()
@@ -166,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     n = known.count()
     if n > train_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    # About ``train_rows`` ids, so they may be broadcast, and texts stay where they are.
     kind = docs.schema["doc_id"].dataType
-    sample = docs.select("doc_id", "text").join(known.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id").where("text is not null")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known.withColumn("doc_id", F.col("doc_id").cast(kind))), "doc_id").where("text is not null")
     sample = sample.withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).drop("h")
     sample = written(sample, "toxicity-sample")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
