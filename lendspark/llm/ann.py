@@ -46,37 +46,57 @@ def build(points: np.ndarray, rows: np.ndarray) -> tuple:
 def search(tree: tuple, points: np.ndarray, queries: np.ndarray, k: int, relax: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of arrays (query rows, point rows) that hold each query's k nearest,
     and all points that tie with the last of them. All queries go down the tree
-    together; of each, the distance of its k-th point so far prunes."""
-    worst = np.full(len(queries), np.inf)
+    together, so each node is met once or twice: first every query goes to the
+    one leaf that it lies in, which bounds its k-th distance; then that bound,
+    as it shrinks, prunes sides."""
+    bound = np.full(len(queries), np.inf)
     best = np.full((len(queries), k), np.inf)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def distances(qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, 2 - 2 * (queries[qs] @ points[rows].T)))
+
+    def home(node: tuple, qs: np.ndarray) -> None:
+        if not len(qs):
+            return
+        if isinstance(node[0], str):
+            d = distances(qs, node[1][:1024])
+            if d.shape[1] >= k:
+                bound[qs] = np.partition(d, k - 1, axis=1)[:, k - 1]
+            return
+        vantage, radius, inner, outer = node
+        inside = distances(qs, np.array([vantage]))[:, 0] <= radius
+        home(inner, qs[inside])
+        home(outer, qs[~inside])
+
     def take(qs: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
-        near = d <= worst[qs][:, None] + _EPS
+        near = d <= bound[qs][:, None] + _EPS
         i, j = np.nonzero(near)
+        if not len(i):
+            return
         found.append((qs[i], rows[j], d[i, j]))
-        both = np.concatenate([best[qs], d], axis=1)
-        best[qs] = np.partition(both, k - 1, axis=1)[:, :k]
-        worst[qs] = best[qs][:, k - 1]
+        hit = np.flatnonzero(near.any(axis=1))
+        both = np.concatenate([best[qs[hit]], d[hit]], axis=1)
+        best[qs[hit]] = np.partition(both, k - 1, axis=1)[:, :k]
+        bound[qs[hit]] = np.minimum(bound[qs[hit]], best[qs[hit], k - 1])
 
     def down(node: tuple, qs: np.ndarray) -> None:
         if not len(qs):
             return
         if isinstance(node[0], str):
             for a in range(0, len(node[1]), 1024):  # a leaf of ties may be large
-                rows = node[1][a : a + 1024]
-                take(qs, rows, np.sqrt(np.maximum(0, 2 - 2 * (queries[qs] @ points[rows].T))))
+                take(qs, node[1][a : a + 1024], distances(qs, node[1][a : a + 1024]))
             return
         vantage, radius, inner, outer = node
-        d = np.sqrt(np.maximum(0, 2 - 2 * (queries[qs] @ points[vantage])))
-        take(qs, np.array([vantage]), d[:, None])
-        inside = d <= radius
-        down(inner, qs[inside])
-        down(outer, qs[~inside])
-        down(outer, qs[inside & (radius - d <= relax * worst[qs] + _EPS)])
-        down(inner, qs[~inside & (d - radius <= relax * worst[qs] + _EPS)])
+        d = distances(qs, np.array([vantage]))
+        take(qs, np.array([vantage]), d)
+        d = d[:, 0]
+        down(inner, qs[d - radius <= relax * bound[qs] + _EPS])
+        down(outer, qs[radius - d <= relax * bound[qs] + _EPS])
 
+    home(tree, np.arange(len(queries)))
     down(tree, np.arange(len(queries)))
+    worst = bound
     for qs, rows, d in found:
         keep = d <= worst[qs] + _EPS
         yield qs[keep], rows[keep]
@@ -99,16 +119,14 @@ def _shard(k: int, relax: float):
         starts = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
         points, at = unit(kinds), unit(q)
         tree = build(points, np.random.default_rng(len(points)).permutation(len(points)))
-        out = []
         # One more, as the query itself may be among the points.
-        for qs, rows in search(tree, points, at, k + 1, relax):
-            n = starts[rows + 1] - starts[rows]
-            qi = np.repeat(qs, n)
-            xi = order[np.repeat(starts[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            other = ids[xi] != query_ids[qi]
-            qi, xi = qi[other], xi[other]
-            out.append(pd.DataFrame({"query_id": query_ids[qi], "vec_id": ids[xi], "score": cosine(q[qi], x[xi])}))
-        found = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        qs, rows = (np.concatenate(c) for c in zip(*search(tree, points, at, k + 1, relax), strict=True))
+        n = starts[rows + 1] - starts[rows]
+        qi = np.repeat(qs, n)
+        xi = order[np.repeat(starts[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        other = ids[xi] != query_ids[qi]
+        qi, xi = qi[other], xi[other]
+        found = pd.DataFrame({"query_id": query_ids[qi], "vec_id": ids[xi], "score": cosine(q[qi], x[xi])}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
         return found[found.groupby("query_id").cumcount() < k][columns]
 
     return run
