@@ -26,9 +26,9 @@ _CHUNK = 1 << 19
 _PIECE = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 
-#: Different runs of one anchor beyond which they are cut by the bytes around it.
-HOT_RUNS = 2048
-_BLOCK = 4
+#: Windows' places around the anchor that a run is cut into; narrower where an
+#: anchor has more than HOT_RUNS different runs.
+BLOCK, HOT_BLOCK, HOT_RUNS = 34, 4, 2048
 
 #: Runs in a shard, about.
 SHARD_RUNS = 20_000
@@ -97,35 +97,23 @@ def _find_runs(length: int, gram: int):
     return run
 
 
-def _cut_hot(length: int):
-    """Cuts runs by their windows' places around the anchor, ``_BLOCK`` places at
+def _cut(length: int):
+    """Cuts runs by their windows' places around the anchor, a block of places at
     a time. All windows of a block hold the same bytes at the same places, the
-    block's core; its hash is the new key."""
+    block's core, as do all equal windows; its hash is the new key."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        core = length - _BLOCK + 1
-        for batch in batches:
-            out = []
-            for a, did, th, lo, hi, at, b in batch[["a", "did", "th", "lo", "hi", "at", "b"]].itertuples(index=False):
-                for j in range((at - hi) // _BLOCK, (at - lo) // _BLOCK + 1):
-                    w1, w2 = max(lo, at - _BLOCK * j - _BLOCK + 1), min(hi, at - _BLOCK * j)
-                    c = at - _BLOCK * j - lo
-                    key = hashlib.blake2b(b[c : c + core] + j.to_bytes(4, "little"), digest_size=8, key=a.to_bytes(8, "little", signed=True)).digest()
-                    sub = b[w1 - lo : w2 - lo + length]
-                    out.append((int.from_bytes(key, "little", signed=True), did, th, w1, w2, sub))
-            yield pd.DataFrame(out, columns=["a", "did", "th", "lo", "hi", "b"])
-
-    return run
-
-
-def _cut_bytes(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for did, th, text, runs in batch[["did", "th", "text", "runs"]].itertuples(index=False):
                 data = _bytes(text)
-                out += [(r["a"], did, th, r["lo"], r["hi"], r["at"], data[r["lo"] : r["hi"] + length]) for r in runs]
-            yield pd.DataFrame(out, columns=["a", "did", "th", "lo", "hi", "at", "b"])
+                for r in runs:
+                    lo, hi, at, block = r["lo"], r["hi"], r["at"], HOT_BLOCK if r["hot"] else BLOCK
+                    for j in range((at - hi) // block, (at - lo) // block + 1):
+                        w1, w2, c = max(lo, at - block * j - block + 1), min(hi, at - block * j), at - block * j
+                        key = hashlib.blake2b(data[c : c + length - block + 1] + j.to_bytes(4, "little"), digest_size=8).digest()
+                        out.append((int.from_bytes(key, "little", signed=True), did, th, w1, w2, data[w1 : w2 + length]))
+            yield pd.DataFrame(out, columns=["a", "did", "th", "lo", "hi", "b"])
 
     return run
 
@@ -134,7 +122,7 @@ def _repeats(length: int):
     """Of the runs of one shard: the windows whose bytes an earlier window has."""
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["did", "th", "lo"], kind="stable")
+        shard = shard.drop_duplicates(["a", "did", "th", "lo"]).sort_values(["did", "th", "lo"], kind="stable")
         parts = shard["b"].tolist()
         first = np.cumsum([0] + [len(p) + 1 for p in parts])
         # Runs follow each other in order of document and place, each ended by symbol 1; 0 ends all.
@@ -209,22 +197,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
     place = F.struct("did", "th", "lo")
     ordered = Window.partitionBy("a", "seg").orderBy("did", "th", "lo")
     runs = runs.withColumn("first", F.first(place).over(ordered) == place).select("did", "th", "a", "lo", "hi", "at", "first", (F.col("s1") != F.col("s2")).alias("many"))
+    runs = runs.withColumn("hot", F.count_if("first").over(same_a) > HOT_RUNS)
     runs = written(runs, "repeated-runs")
     spans = runs.where(~F.col("first")).select("did", "th", "lo", (F.col("hi") + length).alias("hi"))
     # Bytes of the first run of each kind, where an anchor has several kinds.
-    asked = runs.where("first and many").groupBy("did", "th").agg(F.collect_set(F.struct("a", "lo", "hi", "at")).alias("runs"))
+    asked = runs.where("first and many").groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi", "at", "hot")).alias("runs"))
     asked = asked.withColumnsRenamed({"did": "d", "th": "h"})
     texts = rows.where(F.octet_length("text") >= length).join(asked, (F.col("did") == F.col("d")) & (F.col("th") == F.col("h")))
-    kinds = texts.select("did", "th", "text", "runs").mapInPandas(_cut_bytes(length), "a long, did long, th long, lo long, hi long, at long, b binary")
-    kinds = written(kinds.dropDuplicates(["a", "did", "th", "lo"]), "run-bytes")
-    hot = kinds.groupBy("a").count().where(F.col("count") > HOT_RUNS).select("a")
-    cool = kinds.join(hot, "a", "left_anti").select("a", "did", "th", "lo", "hi", "b")
-    parts = kinds.join(hot, "a", "left_semi").mapInPandas(_cut_hot(length), "a long, did long, th long, lo long, hi long, b binary")
+    parts = texts.select("did", "th", "text", "runs").mapInPandas(_cut(length), "a long, did long, th long, lo long, hi long, b binary")
     same = Window.partitionBy("a", "b").orderBy("did", "th", "lo")
-    parts = written(parts.withColumn("first", F.row_number().over(same) == 1), "cut-runs")
+    parts = written(parts.withColumn("first", F.first(place).over(same) == place), "cut-runs")
     spans = spans.unionByName(parts.where(~F.col("first")).select("did", "th", "lo", (F.col("hi") + length).alias("hi")))
     shared = parts.where("first").withColumn("n", F.count("*").over(Window.partitionBy("a"))).where("n > 1")
-    cool = written(cool.unionByName(shared.select(*cool.columns)), "shard-runs")
+    cool = written(shared.select("a", "did", "th", "lo", "hi", "b"), "shard-runs")
     shards = max(1, -(-cool.count() // SHARD_RUNS))
     shard = F.pmod(F.xxhash64("a"), F.lit(shards))
     found = cool.groupBy(shard.alias("shard")).applyInPandas(lambda pdf: _repeats(length)(pdf), "did long, th long, lo long, hi long")

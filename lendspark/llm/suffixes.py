@@ -44,27 +44,23 @@ def _induce_buckets(t: np.ndarray, sigma: int, smaller: np.ndarray, lms: np.ndar
         p = p[smaller[p] == kind]
         return p, t[p]
 
-    for c in range(sigma):
+    def spread(blocks: list[np.ndarray], into: list[list[np.ndarray]], kind: bool) -> None:
+        """What a bucket's blocks induce; what they add to the bucket itself comes in the next round."""
         done = 0
-        while done < len(larger[c]):
-            block = larger[c][done]
-            done += 1
-            for s, p in _split(*before(block, False)):
-                larger[s].append(p)
-        for block in own[c]:
-            for s, p in _split(*before(block, False)):
-                larger[s].append(p)
+        while done < len(blocks):
+            block = np.concatenate(blocks[done:])
+            done = len(blocks)
+            for s, p in _split(*before(block, kind)):
+                into[s].append(p)
+
+    for c in range(sigma):
+        spread(larger[c], larger, False)
+        spread(own[c], larger, False)
     less: list[list[np.ndarray]] = [[] for _ in range(sigma)]  # from right to left
     for c in range(sigma - 1, -1, -1):
-        done = 0
-        while done < len(less[c]):
-            block = less[c][done]
-            done += 1
-            for s, p in _split(*before(block, True)):
-                less[s].append(p)
-        for block in reversed(larger[c]):
-            for s, p in _split(*before(block[::-1], True)):
-                less[s].append(p)
+        spread(less[c], less, True)
+        if larger[c]:
+            spread([np.concatenate(larger[c])[::-1]], less, True)
     parts = []
     last = np.array([len(t) - 1])
     for c in range(sigma):
