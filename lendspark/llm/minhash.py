@@ -5,15 +5,17 @@ on. Minima of many universal hashes are cut into bands; classes that agree in a
 band share a bucket. In a bucket each class is compared with the smallest one
 first; components of the confirmed links then tell which comparisons are still
 open: pairs in one bucket but in different components. Those are compared, all
-of them in small buckets; large buckets are first split by further bands. So a
-group of thousands of copies costs about one comparison a member and bucket,
-and not all pairs. Every link is confirmed on the full sets.
+of them in small buckets; the classes of large ones are joined exactly, by
+prefixes of their full sets. So a group of thousands of copies costs about one
+comparison a member and bucket, and not all pairs. Every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +33,12 @@ BROADCAST_IDS = 500_000
 #: Buckets of up to so many classes are compared pair by pair.
 SMALL = 8
 
-#: Bands of 3 minima that split each larger one. A pair at similarity 0.8 meets
-#: in about 13 buckets; that all are large and none is left whole has a chance of 6e-6.
-FURTHER = 2
+#: Rows of a shingle that meet in one task of the prefix join: more are dealt in blocks.
+BLOCK = 64
 
-#: Neighbours that a class is compared with in buckets which stay large.
-NEIGHBOURS = 4
+#: Counters of the shingles' frequencies, and how many of them make a row. Any
+#: global order of shingles is right; frequencies only keep the join small.
+COUNTERS, COUNTER_ROW = 1 << 20, 1 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -166,6 +168,67 @@ def _pairs(rows: DataFrame, many: int, percent: int, slack: float) -> DataFrame:
     return rows.select(F.least("c.node", "p.c.node").alias("u"), F.greatest("c.node", "p.c.node").alias("v")).distinct()
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of ``sets`` (node, items) occur, by their lowest bits: a table of fixed size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for items in batch["items"]:
+                np.add.at(n, np.asarray(items) & (COUNTERS - 1), 1)
+        table = n.reshape(-1, COUNTER_ROW)
+        some = np.flatnonzero(table.any(axis=1))
+        yield pd.DataFrame({"k": some, "n": [zlib.compress(table[k].tobytes(), 1) for k in some]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        n = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in rows["n"])
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "n": [zlib.compress(n.tobytes(), 1)]})
+
+    out = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), dtype=np.int64)
+    for r in sets.mapInPandas(count, "k long, n binary").groupBy("k").applyInPandas(add, "k long, n binary").collect():
+        out[r["k"]] = np.frombuffer(zlib.decompress(r["n"]), dtype=np.int64)
+    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
+
+
+def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) of ``sets`` (node, items) in different components that may be linked.
+
+    Exact: in one order of all shingles, rare ones first, linked sets share one
+    among the first (1 - s) of the larger one's and the first 1 - 2 s / (1 + s)
+    of the smaller one's. What they share up to there and what is left behind
+    it must suffice for the link.
+    """
+    frequency = _frequencies(sets)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                part = batch.iloc[k : k + 500]
+                sets_ = [np.asarray(items) for items in part["items"]]
+                size = np.array([len(x) for x in sets_])
+                n = size + (-percent * size // 100) + 1
+                first = [x[np.lexsort((x, frequency[x & (COUNTERS - 1)]))[:m]] for x, m in zip(sets_, n, strict=True)]
+                nodes = part["node"].to_numpy(dtype=object).repeat(n)
+                yield pd.DataFrame({"node": nodes, "size": size.repeat(n), "item": np.concatenate(first), "pos": np.concatenate([np.arange(m) for m in n])})
+
+    rows = sets.mapInPandas(prefixes, "node binary, size long, item long, pos long").join(comps.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
+    rows = rows.select("item", "node", "size", "pos", F.coalesce("comp", "node").alias("comp"))
+    short = (100 + percent) * (F.col("size") - F.col("pos")) >= 2 * percent * F.col("size")
+    rows = written(rows.withColumn("short", short), "prefixes")
+    shared = rows.groupBy("item").agg(F.count("*").alias("n"), F.count_if("short").alias("n_short"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    shared = shared.where("n_short > 0 and c1 != c2").select("item", *[F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("n_short", "blocks_x"), ("n", "blocks_y"))])
+    rows = rows.join(shared, "item")
+    block = lambda n: F.pmod(F.hash("node"), F.col(n))
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.where("short").select("item", block("blocks_x").alias("i"), others("blocks_y").alias("j"), F.struct("size", "node").alias("x"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
+    y = rows.select("item", others("blocks_x").alias("i"), block("blocks_y").alias("j"), F.struct("size", "node").alias("y"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
+    met = x.join(y, ["item", "i", "j"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
+    left = F.least(F.col("x.size") - F.col("px"), F.col("y.size") - F.col("py"))
+    enough = lambda most: (100 + percent) * most >= percent * (F.col("x.size") + F.col("y.size"))
+    met = met.where(enough(left)).groupBy("x", "y").agg(F.count("*").alias("n"), F.max("px").alias("px"), F.max("py").alias("py"))
+    return met.where(enough(F.col("n") + left - 1)).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+
+
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """``rows`` (key, c) with comp and n, their buckets' sizes; without buckets that are in one component."""
     rows = rows.join(comps, F.col("c.node") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c.node").alias("comp"))
@@ -203,21 +266,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     size_class = F.floor(F.log(F.col("c.size").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     split = F.explode(F.transform(F.array(size_class, size_class + 1), lambda k: F.xxhash64("key", k)))
     still = _open(keyed.select("key", "c"), comps).select(split.alias("key"), "c")
-    for last in (False, True):
-        still = written(_open(still, comps), "open")
-        large = still.where(F.col("n") > SMALL)
-        pairs = _pairs(still.where(F.col("n") <= SMALL), SMALL, percent, slack)
-        pairs = pairs.unionByName(_pairs(large, NEIGHBOURS, percent, slack)).distinct() if last else pairs
-        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        more = _confirmed(pairs, classes, docs, words, percent)
+    still = written(_open(still, comps), "open")
+    pairs = written(_pairs(still.where(F.col("n") <= SMALL), SMALL, percent, slack).join(tried, ["u", "v"], "left_anti"), "pairs")
+    more = _confirmed(pairs, classes, docs, words, percent)
+    if not more.isEmpty():
+        links, tried = links.unionByName(more), tried.unionByName(pairs)
+        comps = written(components(links), "components")
+    # Classes of large buckets in which components still differ are joined exactly.
+    large = _open(still.where(F.col("n") > SMALL).select("key", "c"), comps).select(F.col("c.node").alias("m")).distinct()
+    large = written(classes.select("node", "doc_id").join(large, F.col("node") == F.col("m"), "left_semi"), "large")
+    if not large.isEmpty():
+        pairs = _prefix_pairs(written(_sets(docs, large, words), "large-sets"), comps, percent)
+        more = _confirmed(written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), classes, docs, words, percent)
         if not more.isEmpty():
-            links, tried = links.unionByName(more), tried.unionByName(pairs)
-            comps = written(components(links), "components")
-        if last or large.isEmpty():
-            break
-        # Large buckets in which components still differ are split by further, shorter bands.
-        further = F.transform(F.sequence(F.lit(0), F.lit(FURTHER - 1)), lambda k: F.xxhash64(F.col("key"), k, F.slice("sig", 3 * (F.pmod(F.xxhash64("key"), F.lit(bands * rows // 3 - FURTHER)) + k).cast("int") + 1, 3)))
-        still = large.select("key", "c").join(classes.select("node", "sig"), F.col("c.node") == F.col("node")).select(F.explode(further).alias("key"), "c")
+            comps = written(components(links.unionByName(more)), "components")
     linked = comps.join(classes.select("node", F.col("doc_id").alias("d")), "node")
     names = linked.join(linked.groupBy("comp").agg(F.min("d").alias("component")), "comp").select(F.col("node").alias("m"), "component")
     named = classes.select("node", "doc_id").join(names, F.col("node") == F.col("m"), "left").select("node", F.coalesce("component", "doc_id").alias("component_id"))

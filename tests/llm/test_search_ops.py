@@ -211,6 +211,19 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert got == brute_duplicates(rows, 4, 80)
 
 
+def test_near_duplicates_in_a_family(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)  # hot shingles are dealt in blocks
+    rng = random.Random(7)
+    words = lambda n: ["w" + str(rng.randrange(10**6)) for _ in range(n)]
+    passage = words(200)
+    own = [words(33) for _ in range(400)]  # mutually at 0.75
+    own += [own[k][:9] + words(24) for k in range(0, 400, 10)]  # at 0.81 to one each
+    rows = [(k, " ".join(passage + w)) for k, w in enumerate(own)]
+    want = brute_duplicates(rows, 4, 80)
+    assert sum(kept for *_, kept in want) == 400
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs(spark, rows), words=4).collect()) == want
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     got = minhash.near_duplicates(docs(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f"), (5, "q"), (5, "q"), (5, "r s")])).collect()
