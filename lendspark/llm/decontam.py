@@ -79,11 +79,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: float
         index = F.broadcast(index)
     windows = docs.select("doc_id", F.posexplode(_windows(template(F.col("text")), n)).alias("pos", "w"))
     hits = windows.join(index, "w")
-    pairs = hits.groupBy("doc_id", "cls", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.count_distinct("ipos").cast("long").alias("n_windows"), F.first("n_all").alias("n_all"))
-    pairs = pairs.withColumn("coverage", F.col("n_windows") / F.col("n_all")).where(F.col("coverage") >= least)
+    pairs = hits.groupBy("doc_id", "cls", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"), F.first("n_all").alias("n_all"))
+    pairs = pairs.withColumn("n_windows", F.size("at").cast("long")).withColumn("coverage", F.col("n_windows") / F.col("n_all")).where(F.col("coverage") >= least)
     pairs = written(pairs, "pairs").join(items.select("cls", "item_id", "raw"), "cls")
     slots = F.filter(F.transform("raw", lambda r, i: F.struct(r.alias("r"), i.cast("int").alias("i"))), lambda x: F.substr(x["r"], F.lit(1), F.lit(1)).isin(NAME, NUMBER, UNIT))
-    pairs = written(pairs.withColumn("slots", slots).drop("raw"), "pairs-slots")
+    # Only slots in a matched window are compared.
+    matched = let(F.col("at"), lambda at: F.filter(slots, lambda x: F.exists(at, lambda p: (p <= x["i"]) & (x["i"] < p + n))))
+    pairs = written(pairs.withColumn("slots", matched).drop("raw", "at"), "pairs-slots")
     plain = pairs.where(F.size("slots") == 0).select("doc_id", "item_id", "n_windows", "coverage", F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact"))
     slotted = pairs.where(F.size("slots") > 0)
     if not slotted.isEmpty():

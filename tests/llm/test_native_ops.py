@@ -88,6 +88,13 @@ def test_decontamination_catches_new_values(spark):
     assert decontam.contaminated(docs(spark, rows), benchmark.where("false")).count() == 0
 
 
+def test_decontamination_checks_matched_slots_only(spark):
+    benchmark = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    part = ITEM[: ITEM.index("where Maria")] + "and finds with 4 others that none of the Peters is at home by now"
+    got = decontam.contaminated(docs(spark, [(1, f"so it goes. {part}")]), benchmark).collect()
+    assert [(r["n_slots"], r["exact"]) for r in got] == [(4, True)]
+
+
 def test_decontamination_matches_brute_force(spark):
     items = {r["item_id"]: re.findall(r"[^\W\d_]+", r["text"].lower()) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
     want = set()
