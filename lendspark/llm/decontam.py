@@ -3,7 +3,7 @@
 Documents and benchmark items are reduced to templates: numbers, names and
 units become typed placeholders. Windows of template words are hash-joined, so
 a question whose numbers or names were changed still meets its original. A pair
-counts if enough of the item's windows lie in the document at one offset, and
+counts if enough of the item's windows lie in the document at one offset or at close ones, and
 its slots are consistent: each value of the item stands for one value in the
 document wherever it occurs. All steps are DataFrame expressions.
 """
@@ -57,7 +57,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: float
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. coverage is
     the share of the item's windows of ``n`` template words that stand in the
-    document in the same order and distance, at least ``least``. n_slots counts
+    document in the same order and about the same distance (shifts of up to
+    ``n`` words between neighbours), at least ``least``. n_slots counts
     the matched slots; exact tells that all have the item's own values. Pairs
     with inconsistent slots are left out. Items of equal templates are joined
     once, as one class, and told apart at the end. Null or empty texts, and
@@ -80,17 +81,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: float
     windows = docs.select("doc_id", F.posexplode(_windows(template(F.col("text")), n)).alias("pos", "w"))
     hits = windows.join(index, "w")
     pairs = hits.groupBy("doc_id", "cls", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"), F.first("n_all").alias("n_all"))
-    pairs = pairs.withColumn("n_windows", F.size("at").cast("long")).withColumn("coverage", F.col("n_windows") / F.col("n_all")).where(F.col("coverage") >= least)
+    # Shifts of one document that lie close together, as after inserted or dropped words, are one match.
+    order = Window.partitionBy("doc_id", "cls").orderBy("shift")
+    pairs = pairs.withColumn("far", F.coalesce((F.col("shift") - F.lag("shift").over(order) > n).cast("int"), F.lit(0)))
+    pairs = pairs.withColumn("match", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # The shifts with the most windows come first.
+    part = F.struct((-F.size("at")).alias("rank"), "shift", "at")
+    pairs = pairs.groupBy("doc_id", "cls", "match").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("n_all").alias("n_all"))
+    pairs = pairs.withColumn("n_windows", F.size(F.array_distinct(F.flatten("parts.at"))).cast("long")).withColumn("coverage", F.col("n_windows") / F.col("n_all")).where(F.col("coverage") >= least)
     pairs = written(pairs, "pairs").join(items.select("cls", "item_id", "raw"), "cls")
     slots = F.filter(F.transform("raw", lambda r, i: F.struct(r.alias("r"), i.cast("int").alias("i"))), lambda x: F.substr(x["r"], F.lit(1), F.lit(1)).isin(NAME, NUMBER, UNIT))
-    # Only slots in a matched window are compared.
-    matched = let(F.col("at"), lambda at: F.filter(slots, lambda x: F.exists(at, lambda p: (p <= x["i"]) & (x["i"] < p + n))))
-    pairs = written(pairs.withColumn("slots", matched).drop("raw", "at"), "pairs-slots")
+    # Only slots in a matched window are compared, each at its first shift.
+    holds = lambda x: lambda part: F.exists(part["at"], lambda p: (p <= x["i"]) & (x["i"] < p + n))
+    placed = let(F.col("parts"), lambda parts: F.transform(slots, lambda x: F.struct(x["r"].alias("r"), (x["i"] + F.get(F.filter(parts, holds(x)), F.lit(0))["shift"]).alias("i"))))
+    pairs = written(pairs.withColumn("slots", F.filter(placed, lambda x: x["i"].isNotNull())).drop("raw", "parts"), "pairs-slots")
     plain = pairs.where(F.size("slots") == 0).select("doc_id", "item_id", "n_windows", "coverage", F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact"))
     slotted = pairs.where(F.size("slots") > 0)
     if not slotted.isEmpty():
         texts = docs.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_tokens(F.col("text")).alias("theirs"))
-        both = slotted.join(texts, "doc_id").withColumn("both", let(F.col("theirs"), lambda t: F.transform("slots", lambda s: F.struct(s["r"].alias("a"), F.get(t, s["i"] + F.col("shift")).alias("b")))))
+        both = slotted.join(texts, "doc_id").withColumn("both", let(F.col("theirs"), lambda t: F.transform("slots", lambda s: F.struct(s["r"].alias("a"), F.get(t, s["i"]).alias("b")))))
         both = both.withColumn("both", F.filter("both", lambda x: x["b"].isNotNull()))
         values = F.size(F.array_distinct(F.transform("both", lambda x: x["a"])))
         consistent = values == F.size(F.array_distinct("both"))

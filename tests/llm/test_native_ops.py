@@ -95,6 +95,16 @@ def test_decontamination_checks_matched_slots_only(spark):
     assert [(r["n_slots"], r["exact"]) for r in got] == [(4, True)]
 
 
+def test_decontamination_adds_up_close_shifts(spark):
+    benchmark = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    words = ITEM.split()
+    more, less = words[:12] + ["slowly"] + words[12:], words[:12] + words[13:]
+    far = words[:12] + ["filler"] * 40 + words[12:]
+    rows = [(k, "so it goes. " + " ".join(w) + " and on") for k, w in enumerate([more, less, far])]
+    got = {r["doc_id"]: r for r in decontam.contaminated(docs(spark, rows), benchmark).collect()}
+    assert set(got) == {0, 1} and all(r["exact"] for r in got.values())
+
+
 def test_decontamination_matches_brute_force(spark):
     items = {r["item_id"]: re.findall(r"[^\W\d_]+", r["text"].lower()) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
     want = set()
