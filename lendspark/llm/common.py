@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests on one machine) a local folder is set.
+    Only where a session on one machine (tests) has none a local folder is
+    set; on a cluster that would lose data, so there it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
@@ -43,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        spark, folder = df.sparkSession, shared_dir(df.sparkSession)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if folder.rsplit("/", 1)[-1] in path.split("/"):
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value worked out once.
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +22,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import discard, let, written
 from .components import components
 from .textbytes import Prefix, mix
 
-#: Classes whose doc_ids (8 bytes each) may be broadcast; beyond, they are joined by a shuffle.
+#: Rows of ids or pairs (up to 40 bytes each) that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 #: Buckets of up to so many classes are compared pair by pair.
 SMALL = 8
 
-#: Rows of a shingle that meet in one task of the prefix join: more are dealt in blocks.
-BLOCK = 64
-
-#: Counters of the shingles' frequencies, and how many of them make a row. Any
-#: global order of shingles is right; frequencies only keep the join small.
-COUNTERS, COUNTER_ROW = 1 << 20, 1 << 10
+#: Shingles of more sets than this are hot: sets aren't compared because they share one.
+HOT = 64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -92,6 +87,15 @@ def _name(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _bands(sig: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A hash of each band of minima and its number."""
+    parts = sig.view(np.uint32).astype(np.uint64).reshape(bands, rows)
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
+    return out.view(np.int64).tolist()
+
+
 def _sketch(sig: np.ndarray) -> list[int]:
     """The lowest four bits of each of the first 128 minima, in eight numbers."""
     low = np.zeros(128, dtype=np.uint8)
@@ -100,23 +104,30 @@ def _sketch(sig: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, node (name of the set; null if empty), sig, low (their sketch)."""
+    """doc_id, size (of the set), node (name of the set; null if empty), keys (of its bands), low (sketch of its minima)."""
     a = mix(np.arange(seed, seed + bands * rows, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
     b = mix(a)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), words)
-            out = [(len(s), _name(s), sig := signature(s, a, b), _sketch(sig)) if len(s) else (0, None, None, None) for s in sets]
-            n, node, sig, low = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "node": node, "sig": sig, "low": low})
+            out = [(len(s), _name(s), _bands(sig := signature(s, a, b), bands, rows), _sketch(sig)) if len(s) else (0, None, None, None) for s in sets]
+            n, node, keys, low = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "size": n, "node": node, "keys": keys, "low": low})
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_type}, n_shingles long, node binary, sig array<int>, low array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_type}, size long, node binary, keys array<long>, low array<long>")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, items): the full sets of ``nodes`` (node, doc_id)."""
+    """(node, items): the full sets of all texts whose doc_ids ``nodes`` (node, doc_id) has.
+
+    Other texts of those doc_ids come along, and repeated ones come repeatedly."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,32 +135,32 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             rows = [(_name(s), s.view(np.int64)) for s in shingle_sets(batch["text"].tolist(), words) if len(s)]
             yield pd.DataFrame(rows, columns=["node", "items"])
 
-    ids = nodes.select(F.col("doc_id").cast(doc_type).alias("doc_id")).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "node binary, items array<long>")
-    return texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    ids = _few(nodes.select(F.col("doc_id").cast(doc_type).alias("__id")).distinct())
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInPandas(run, "node binary, items array<long>")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "doc_id"), "node")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(members.select("node", "doc_id"), "node")
     sets = written(_sets(docs, nodes, words), "sets")
-    full = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("iu")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("iv")), "v")
+    v = sets.select(F.col("node").alias("v"), F.col("items").alias("iv")).join(_few(pairs), "v")
+    u = sets.select(F.col("node").alias("u"), F.col("items").alias("iu")).join(_few(pairs.select("u").distinct()), "u", "left_semi")
     both = F.size(F.array_intersect("iu", "iv"))
-    return written(full.where(100 * both >= percent * (F.size("iu") + F.size("iv") - both)).select("u", "v"), "links")
+    links = written(v.join(u, "u").where(100 * both >= percent * (F.size("iu") + F.size("iv") - both)).select("u", "v").distinct(), "links")
+    discard(sets)
+    return links
 
 
 def _alike(a: Column, b: Column, percent: int, slack: float) -> Column:
-    """Whether two classes (size, b0 to b7) may be linked, by sizes and signatures.
+    """Whether two classes (size, low) may be linked, by sizes and sketches.
 
-    b0 to b7 hold four bits of each of 128 minima. At similarity s these agree
+    low holds four bits of each of 128 minima. At similarity s these agree
     with chance s + (1 - s) / 16; a pair at the threshold of 0.8 has more than
-    ``slack`` = 0.17 less than that with a chance under 1e-5.
+    ``slack`` = 0.2 less than that with a chance of about 3e-8.
     """
 
     def unlike(k: int) -> Column:  # how many of 16 minima differ
-        x = a[f"b{k}"].bitwiseXOR(b[f"b{k}"])
+        x = a["low"][k].bitwiseXOR(b["low"][k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
@@ -159,85 +170,97 @@ def _alike(a: Column, b: Column, percent: int, slack: float) -> Column:
     return (100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"])) & (differ <= most)
 
 
-def _pairs(rows: DataFrame, many: int, percent: int, slack: float) -> DataFrame:
-    """Pairs of different components among rows that follow each other in a bucket, ``many`` apart at most."""
-    order = Window.partitionBy("key").orderBy("c.b0", "c.node").rowsBetween(-many, -1)
-    rows = rows.withColumn("p", F.collect_list(F.struct("c", "comp")).over(order))
-    likely = lambda me, p: F.filter(p, lambda x: (x["comp"] != me["comp"]) & _alike(me["c"], x["c"], percent, slack))
-    rows = rows.select("c", F.explode(let(F.struct("c", "comp"), lambda me: likely(me, F.col("p")))).alias("p"))
-    return rows.select(F.least("c.node", "p.c.node").alias("u"), F.greatest("c.node", "p.c.node").alias("v")).distinct()
+def _likely(pairs: DataFrame, members: DataFrame, percent: int, slack: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sizes and sketches allow a link."""
+    info = lambda name: members.select(F.col("node").alias(name), F.struct("size", "low").alias(f"i{name}"))
+    both = pairs.distinct().join(info("u"), "u").join(info("v"), "v")
+    return both.where(_alike(F.col("iu"), F.col("iv"), percent, slack)).select("u", "v")
 
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of ``sets`` (node, items) occur, by their lowest bits: a table of fixed size."""
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of different components in each bucket of ``rows`` (key, node, comp); buckets are small."""
+    groups = rows.groupBy("key").agg(F.collect_list(F.struct("node", "comp")).alias("g"))
+    x = groups.select("g", F.explode("g").alias("x"))
+    y = x.select("x", F.explode(let(F.col("x"), lambda me: F.filter("g", lambda o: (o["node"] > me["node"]) & (o["comp"] != me["comp"])))).alias("y"))
+    return y.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            for items in batch["items"]:
-                np.add.at(n, np.asarray(items) & (COUNTERS - 1), 1)
-        table = n.reshape(-1, COUNTER_ROW)
-        some = np.flatnonzero(table.any(axis=1))
-        yield pd.DataFrame({"k": some, "n": [zlib.compress(table[k].tobytes(), 1) for k in some]})
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        n = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in rows["n"])
-        return pd.DataFrame({"k": rows["k"].iloc[:1], "n": [zlib.compress(n.tobytes(), 1)]})
+def _enough(shared: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets of so many elements together that share so many are linked."""
+    return (100 + percent) * shared >= percent * sizes
 
-    out = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), dtype=np.int64)
-    for r in sets.mapInPandas(count, "k long, n binary").groupBy("k").applyInPandas(add, "k long, n binary").collect():
-        out[r["k"]] = np.frombuffer(zlib.decompress(r["n"]), dtype=np.int64)
-    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
 
+def exact_pairs(sets: DataFrame, percent: int, hot: int) -> DataFrame:
+    """Pairs (u, v) among which are all linked ones of different components that can't be told otherwise.
 
-def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """All pairs (u, v) of ``sets`` (node, items) in different components that may be linked.
+    ``sets`` has node, size, comp and items: size is that of the whole set, of
+    which items may be a part that holds all that may be shared. Linked sets
+    share at least need = percent of either size.
 
-    Exact: in one order of all shingles, rare ones first, linked sets share one
-    among the first (1 - s) of the larger one's and the first 1 - 2 s / (1 + s)
-    of the smaller one's. What they share up to there and what is left behind
-    it must suffice for the link.
+    Only shingles that occur in several components count. The others are cold
+    or, in more than ``hot`` sets, hot. Linked sets that share a cold shingle
+    share one of the first size - need + 1 cold ones of each, in one global
+    order: were it not so, all cold ones that they share would lie behind one
+    set's prefix, and with all its hot ones be less than need. So prefixes are
+    joined, in which no shingle has many sets. Linked sets that share hot
+    shingles only have at least need hot ones each. Those are grouped by their
+    hot part: in a group, if any member is linked with the others by its hot
+    part, it is so with the smallest one, and between two groups, linked
+    members are linked with the smallest one of the other group. So distinct
+    hot parts, with the sizes of their smallest members, are joined by this
+    function itself. Where they are hardly fewer than their sets, more
+    shingles count as cold.
     """
-    frequency = _frequencies(sets)
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                sets_ = [np.asarray(items) for items in part["items"]]
-                size = np.array([len(x) for x in sets_])
-                n = size + (-percent * size // 100) + 1
-                first = [x[np.lexsort((x, frequency[x & (COUNTERS - 1)]))[:m]] for x, m in zip(sets_, n, strict=True)]
-                nodes = part["node"].to_numpy(dtype=object).repeat(n)
-                yield pd.DataFrame({"node": nodes, "size": size.repeat(n), "item": np.concatenate(first), "pos": np.concatenate([np.arange(m) for m in n])})
-
-    rows = sets.mapInPandas(prefixes, "node binary, size long, item long, pos long").join(comps.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
-    rows = rows.select("item", "node", "size", "pos", F.coalesce("comp", "node").alias("comp"))
-    short = (100 + percent) * (F.col("size") - F.col("pos")) >= 2 * percent * F.col("size")
-    rows = written(rows.withColumn("short", short), "prefixes")
-    shared = rows.groupBy("item").agg(F.count("*").alias("n"), F.count_if("short").alias("n_short"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    shared = shared.where("n_short > 0 and c1 != c2").select("item", *[F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("n_short", "blocks_x"), ("n", "blocks_y"))])
-    rows = rows.join(shared, "item")
-    block = lambda n: F.pmod(F.hash("node"), F.col(n))
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = rows.where("short").select("item", block("blocks_x").alias("i"), others("blocks_y").alias("j"), F.struct("size", "node").alias("x"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-    y = rows.select("item", others("blocks_x").alias("i"), block("blocks_y").alias("j"), F.struct("size", "node").alias("y"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    met = x.join(y, ["item", "i", "j"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
-    left = F.least(F.col("x.size") - F.col("px"), F.col("y.size") - F.col("py"))
-    enough = lambda most: (100 + percent) * most >= percent * (F.col("x.size") + F.col("y.size"))
-    met = met.where(enough(left)).groupBy("x", "y").agg(F.count("*").alias("n"), F.max("px").alias("px"), F.max("py").alias("py"))
-    return met.where(enough(F.col("n") + left - 1)).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    spark = sets.sparkSession
+    none = spark.createDataFrame([], sets.select(F.col("node").alias("u"), F.col("node").alias("v")).schema)
+    if sets.limit(2).count() < 2:
+        return none
+    tokens = sets.select("node", "size", "comp", F.explode("items").alias("item"))
+    shared = tokens.groupBy("item").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("item", "n")
+    cold = F.sort_array(F.collect_list(F.when(F.col("n") <= hot, F.struct("n", "item"))))
+    hots = F.sort_array(F.collect_list(F.when(F.col("n") > hot, F.col("item"))))
+    need = F.ceil(percent * F.col("size") / 100)
+    parts = tokens.join(shared, "item").groupBy("node", "size", "comp").agg(cold.alias("cold"), hots.alias("hots")).withColumn("need", need)
+    parts = written(parts.where(F.size("cold") + F.size("hots") >= F.col("need")), "parts")
+    # Prefixes of cold shingles.
+    left = F.size("cold") + F.size("hots")
+    prefix = parts.select("node", "size", "comp", left.alias("left"), F.posexplode(F.slice("cold", F.lit(1), (F.col("size") - F.col("need") + 1).cast("int"))).alias("pos", "c"))
+    row = lambda side: prefix.select(F.col("c.item").alias("item"), F.struct("node", "size", "left").alias(side), F.col("comp").alias(f"c{side}"), F.col("pos").alias(f"p{side}"))
+    met = row("x").join(row("y"), "item").where((F.col("x.node") < F.col("y.node")) & (F.col("cx") != F.col("cy")))
+    met = met.where(100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+    met = met.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("px").alias("px"), F.max("py").alias("py"))
+    behind = F.least(F.col("x.left") - F.col("px"), F.col("y.left") - F.col("py")) - 1
+    out = met.where(_enough(F.col("n") + behind, F.col("x.size") + F.col("y.size"), percent)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    # Groups of one hot part.
+    mostly = parts.where(F.size("hots") >= F.col("need")).select("node", "size", "comp", "hots", F.concat(F.hex(F.xxhash64("hots")), F.lit("."), F.hex(F.xxhash64("hots", F.lit(1)))).alias("group"))
+    groups = mostly.groupBy("group").agg(F.min(F.struct("size", "node", "comp")).alias("s"), F.first("hots").alias("hots"), F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    groups = written(groups, "hot-groups")
+    n, n_groups = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if not n_groups:
+        return written(out.distinct(), "exact-pairs")
+    mine = mostly.select("group", "node", "size", "comp").join(groups.select("group", "s", F.size("hots").alias("h")), "group")
+    mine = mine.where((F.col("comp") != F.col("s.comp")) & _enough(F.col("h"), F.col("size") + F.col("s.size"), percent))
+    out = out.unionByName(mine.select(F.col("s.node").alias("u"), F.col("node").alias("v")))
+    # A group of several components may be linked with any other.
+    whole = groups.select(F.col("group").alias("node"), F.col("s.size").alias("size"), F.when(F.col("c1") == F.col("c2"), F.col("c1")).otherwise(F.xxhash64("group")).alias("comp"), F.col("hots").alias("items"))
+    between = exact_pairs(whole, percent, hot if 2 * n_groups <= n else 8 * hot)
+    side = lambda g: groups.select(F.col("group").alias(g), F.col("s").alias(f"s{g}"), F.col("hots").alias(f"h{g}"))
+    between = between.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "sv", F.size(F.array_intersect("hu", "hv")).alias("o"))
+    between = written(between.where(_enough(F.col("o"), F.col("su.size") + F.col("sv.size"), percent)), "group-pairs")
+    ways = between.select(F.col("u").alias("group"), F.col("sv").alias("s"), "o").unionByName(between.select(F.col("v").alias("group"), F.col("su").alias("s"), "o"))
+    across = mostly.select("group", "node", "size").join(ways, "group").where(_enough(F.col("o"), F.col("size") + F.col("s.size"), percent))
+    out = out.unionByName(across.select(F.least("s.node", "node").alias("u"), F.greatest("s.node", "node").alias("v")))
+    return written(out.distinct(), "exact-pairs")
 
 
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """``rows`` (key, c) with comp and n, their buckets' sizes; without buckets that are in one component."""
-    rows = rows.join(comps, F.col("c.node") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c.node").alias("comp"))
-    whole = Window.partitionBy("key")
-    rows = rows.withColumns({"c1": F.min("comp").over(whole), "c2": F.max("comp").over(whole), "n": F.count("*").over(whole)})
-    return rows.where("c1 != c2").drop("c1", "c2")
+    """``rows`` (key, node) with comp and n, their buckets' sizes; without buckets that are in one component."""
+    rows = rows.join(comps.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    buckets = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 != c2").select("key", "n")
+    return rows.join(buckets, "key")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slack: float = 0.17) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slack: float = 0.2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 times the size of their sets' intersection
@@ -250,39 +273,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     a chance of 5e-8.
     """
     sigs = written(signatures(docs, words, bands, rows), "signatures")
-    classes = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    classes = sigs.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "keys", "low")])
     classes = written(classes, "classes")
-    c = F.struct("node", F.col("size").cast("int").alias("size"), *[F.col("low")[k].alias(f"b{k}") for k in range(8)])
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * rows + 1, rows)))
-    keyed = classes.select(c.alias("c"), F.explode(band).alias("key"))
-    whole = Window.partitionBy("key")
-    keyed = keyed.withColumns({"n": F.count("*").over(whole), "first": F.min("c").over(whole)}).where("n > 1")
-    keyed = written(keyed, "buckets")
-    pairs = keyed.where((F.col("c.node") != F.col("first.node")) & _alike(F.col("c"), F.col("first"), percent, slack))
-    tried = written(pairs.select(F.col("first.node").alias("u"), F.col("c.node").alias("v")).distinct(), "pairs")
-    links = _confirmed(tried, classes, docs, words, percent)
+    # Buckets of one class are most of them; only the sizes of buckets are shuffled to find the others.
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = written(keyed.join(several, "key", "left_semi").select("key", "node"), "buckets")
+    members = buckets.select(F.col("node").alias("__node")).distinct()
+    members = written(classes.drop("keys").join(members, F.col("node") == F.col("__node"), "left_semi"), "members")
+    first = buckets.groupBy("key").agg(F.min("node").alias("first"))
+    pairs = buckets.join(first, "key").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    tried = written(_likely(pairs, members, percent, slack), "pairs")
+    links = _confirmed(tried, members, docs, words, percent)
     comps = written(components(links), "components")
     # Linked sets differ in size by a quarter at most: buckets are split by size, each class going with the next.
-    size_class = F.floor(F.log(F.col("c.size").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
-    split = F.explode(F.transform(F.array(size_class, size_class + 1), lambda k: F.xxhash64("key", k)))
-    still = _open(keyed.select("key", "c"), comps).select(split.alias("key"), "c")
+    still = _open(buckets, comps).drop("comp", "n").join(members.select(F.col("node").alias("__node"), "size"), F.col("node") == F.col("__node"))
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
+    still = still.select(F.explode(F.transform(F.array(size_class, size_class + 1), lambda k: F.xxhash64("key", k))).alias("key"), "node")
     still = written(_open(still, comps), "open")
-    pairs = written(_pairs(still.where(F.col("n") <= SMALL), SMALL, percent, slack).join(tried, ["u", "v"], "left_anti"), "pairs")
-    more = _confirmed(pairs, classes, docs, words, percent)
-    if not more.isEmpty():
+    discard(buckets)
+    pairs = written(_likely(_small_pairs(still.where(F.col("n") <= SMALL)), members, percent, slack).join(tried, ["u", "v"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        more = _confirmed(pairs, members, docs, words, percent)
         links, tried = links.unionByName(more), tried.unionByName(pairs)
         comps = written(components(links), "components")
     # Classes of large buckets in which components still differ are joined exactly.
-    large = _open(still.where(F.col("n") > SMALL).select("key", "c"), comps).select(F.col("c.node").alias("m")).distinct()
-    large = written(classes.select("node", "doc_id").join(large, F.col("node") == F.col("m"), "left_semi"), "large")
+    large = _open(still.where(F.col("n") > SMALL).select("key", "node"), comps).select(F.col("node").alias("__node"), "comp").distinct()
+    large = written(members.join(large, F.col("node") == F.col("__node")).select("node", "doc_id", "size", F.xxhash64("comp").alias("comp")), "large")
     if not large.isEmpty():
-        pairs = _prefix_pairs(written(_sets(docs, large, words), "large-sets"), comps, percent)
-        more = _confirmed(written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), classes, docs, words, percent)
-        if not more.isEmpty():
-            comps = written(components(links.unionByName(more)), "components")
-    linked = comps.join(classes.select("node", F.col("doc_id").alias("d")), "node")
-    names = linked.join(linked.groupBy("comp").agg(F.min("d").alias("component")), "comp").select(F.col("node").alias("m"), "component")
-    named = classes.select("node", "doc_id").join(names, F.col("node") == F.col("m"), "left").select("node", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", F.col("node").alias("own")).join(named, F.col("own") == F.col("node"), "left")
+        sets = _sets(docs, large, words).join(large.select("node", "size", "comp"), "node").dropDuplicates(["node"])
+        pairs = written(exact_pairs(written(sets, "large-sets"), percent, HOT).join(tried, ["u", "v"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            comps = written(components(links.unionByName(_confirmed(pairs, members, docs, words, percent))), "components")
+    linked = comps.join(members.select("node", F.col("doc_id").alias("d")), "node")
+    names = linked.groupBy("comp").agg(F.min("d").alias("component"))
+    named = linked.join(names, "comp").select("node", F.col("component"))
+    # A class without links is a component of its own.
+    named = classes.select("node", "doc_id").join(named.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sigs.select("doc_id", F.col("size").alias("n_shingles"), F.col("node").alias("own")).join(named, F.col("own") == F.col("node"), "left")
     component = F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
