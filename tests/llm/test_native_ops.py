@@ -105,6 +105,36 @@ def test_decontamination_adds_up_close_shifts(spark):
     assert set(got) == {0, 1} and all(r["exact"] for r in got.values())
 
 
+def leaks(spark, rows, items):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(docs(spark, rows), benchmark).collect()}
+
+
+def test_decontamination_of_short_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "ok then"), (3, "Add 7 to 9 and double it")]
+    rows = [(1, "they asked: what is the capital of France? nobody knew"), (2, "what is the capital of Spain? ok then"), (3, "please add 7 to 9 and double it now"), (4, "please add 7 to 8 and double it now")]
+    assert set(leaks(spark, rows, items)) == {(1, 1), (3, 3)}
+
+
+def test_decontamination_slots_anywhere(spark):
+    """Names at the start of sentences and lines and in quotes, and slots of several words."""
+    item = 'Maria Gomez has 1 200 apples. Peter takes some of them away and says "Maria counts what is left" to the child'
+    changed = 'Anna has 900 apples. John Smith takes some of them away and says "Anna counts what is left" to the child'
+    uneven = changed.replace('"Anna', '"Lisa').replace("Anna has", "Anna Berg has")
+    got = leaks(spark, [(1, f"a start. {changed}\nend"), (2, f"first\n{item}"), (None, f"so. {item}"), (3, "so. " + uneven)], [(5, item)])
+    # "maria gomez" and "maria" are two values, so each may stand for its own.
+    assert set(got) == {(1, 5), (2, 5), (None, 5), (3, 5)}
+    assert got[2, 5]["exact"] and got[None, 5]["exact"] and not got[1, 5]["exact"] and got[1, 5]["n_slots"] == 4
+    twice = "a Maria and a Peter went to see whether Maria or Peter had won"
+    assert leaks(spark, [(1, twice.replace("or Peter", "or Lisa")), (2, twice.replace("Peter", "Lisa"))], [(6, twice)]).keys() == {(2, 6)}
+
+
+def test_decontamination_of_rows_with_one_id(spark):
+    half = ITEM.split()
+    rows = [(1, " ".join(half[:10])), (1, " ".join(half[14:])), (None, "x"), (None, ITEM), (2, ITEM), (2, ITEM)]
+    assert set(leaks(spark, rows, [(7, ITEM)])) == {(None, 7), (2, 7)}
+
+
 def test_decontamination_matches_brute_force(spark):
     items = {r["item_id"]: re.findall(r"[^\W\d_]+", r["text"].lower()) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
     want = set()

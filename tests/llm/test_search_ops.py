@@ -50,8 +50,30 @@ def test_fuzzy_trie_is_edit_distance():
 
 def test_quotation_and_address():
     m = toxicity.Matcher(["idiot"], {})
-    assert m.text('he wrote "idiot" there') == {("idiot", 0, True)}
-    assert m.text("you idiot") == {("idiot", 0, False)} and m.text("an 1d10t here") == {("idiot", 0, False)} and m.text("fine") == set()
+    inside, reported, addressed = toxicity.INSIDE, toxicity.REPORTED, toxicity.ADDRESSED
+    assert m.text('he wrote "idiot" there') == {("idiot", 0, "idiot", inside + reported)}
+    assert m.text('she said "you are an idiot"') == {("idiot", 0, "idiot", inside + reported)}  # the speaker's "you" is no address
+    assert m.text("you idiiot") == {("idiot", 1, "idiiot", addressed)}
+    assert m.text('you "idiot"') == {("idiot", 0, "idiot", inside + addressed)}
+    assert m.text("an 1d10t here") == {("idiot", 0, "1d10t", 0)} and m.text("fine") == set()
+    assert m.text('"' + "x " * 80 + 'idiot "') == {("idiot", 0, "idiot", 0)}  # no quotation is that long
+
+
+def test_edits_and_contexts_decide(spark):
+    """Misspellings that the labels lack are caught, quoted ones and ordinary words aren't; without edits or contexts it is otherwise."""
+    rng = random.Random(9)
+    filler = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    # "brute" and "oaf" are learned from labels; "loses" is an ordinary word next to "loser".
+    rows = [(k, f"{filler(8)} {['the brute', 'a nasty oaf', 'you loser'][k % 3]} {filler(8)}", 1) for k in range(60)]
+    rows += [(k, f"{filler(12)} loses {filler(5)}", 0) for k in range(60, 200)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "brute" in model.words and "brute" not in toxicity.SEEDS
+    probes = {"you idiiot": 1, "such a worthles thing": 1, "what a brutte": 1, 'she said "you are an idiot"': 0, "you are an idiot": 1, 'he called it "stupid" once': 0, "who loses here": 0, "a fine day": 0, "": 0}
+    texts = spark.createDataFrame(list(enumerate(probes)), "doc_id int, text string")
+    predict = lambda **kw: [r["predicted"] for r in toxicity.score(texts, model, **kw).orderBy("doc_id").collect()]
+    assert predict() == list(probes.values())
+    assert predict(edits=False)[:4] == [0, 0, 0, 0] and predict(contexts=False)[3:6] == [1, 1, 1]
 
 
 def test_toxicity_held_out(spark):
@@ -62,15 +84,25 @@ def test_toxicity_held_out(spark):
     assert sum(p and not y for p, y in held) <= 1 and sum(p and y for p, y in held) >= 0.6 * sum(y for _, y in held)
 
 
+def test_toxicity_learns_from_any_number_of_rows(spark):
+    table, labels = spark.read.parquet(f"{MID}/documents.parquet"), spark.read.parquet(f"{MID}/labels.parquet")
+    for rows in (0, 1, 50):
+        some = table.where(F.col("doc_id") < rows)
+        assert toxicity.score(some, toxicity.fit(some, labels)).count() == rows
+
+
 def test_toxicity_edges(spark):
     rows = docs(spark, [(1, None), (2, ""), (3, "idiot " * 3), (3, "fine"), (None, "x"), (4, "you moron! " + "word " * 60_000)])
+    rows = rows.withColumns({"score": F.lit("s"), "predicted": F.lit(7)})
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     model = toxicity.fit(rows, labels)
     got = toxicity.score(rows, model, keep=["doc_id", "text", "n"]).collect()
     assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
     assert {r["doc_id"] for r in got if r["predicted"]} == {3, 4}
+    kept = toxicity.clean(rows, model)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3]
     none = toxicity.fit(rows.where("false"), labels.where("false"))
-    assert toxicity.score(rows.where("false"), none).count() == 0
+    assert toxicity.score(rows.where("false"), none).count() == 0 and toxicity.clean(rows.where("false"), none).count() == 0
 
 
 # ── suffix arrays ────────────────────────────────────────────────────────────
@@ -211,8 +243,9 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert got == brute_duplicates(rows, 4, 80)
 
 
-def test_near_duplicates_in_a_family(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 8)  # hot shingles are dealt in blocks
+@pytest.mark.parametrize("hot", [64, 8])
+def test_near_duplicates_in_a_family(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)
     rng = random.Random(7)
     words = lambda n: ["w" + str(rng.randrange(10**6)) for _ in range(n)]
     passage = words(200)
@@ -224,8 +257,38 @@ def test_near_duplicates_in_a_family(spark, monkeypatch):
     assert sorted(tuple(r) for r in minhash.near_duplicates(docs(spark, rows), words=4).collect()) == want
 
 
+def test_exact_pairs_lose_no_component(spark):
+    """Families of sets near the threshold, with hot parts that differ, against all pairs."""
+    rng = random.Random(8)
+    sets = {}
+    for f in range(3):
+        body = [1000 * f + k for k in range(30)]
+        for m in range(25):
+            part = set(rng.sample(body, rng.choice([24, 27, 29, 30]))) if m % 3 else set(body)
+            sets[100 * f + m] = part | {rng.randrange(10**6, 10**6 + 40) for _ in range(rng.choice([0, 2, 5, 7, 9]))}
+    links = [(a, b) for a in sets for b in sets if a < b and 180 * len(sets[a] & sets[b]) >= 80 * (len(sets[a]) + len(sets[b]))]
+
+    def reach(edges):
+        root = {k: k for k in sets}
+        for _ in sets:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    known = [e for e in links if rng.random() < 0.02]  # what earlier stages linked
+    start = reach(known)
+    df = spark.createDataFrame([(k, len(v), start[k], sorted(v)) for k, v in sets.items()], "node long, size long, comp long, items array<long>")
+    for hot in (2, 8, 64):
+        found = {tuple(sorted(r)) for r in minhash.exact_pairs(df, 80, hot).collect()}
+        assert reach(known + [e for e in links if e in found]) == reach(links)
+    assert len(set(start.values())) > len(set(reach(links).values())) > 3
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
+    nobody = " ".join(f"w{k}" for k in range(60))  # without an id, and a near copy with one
+    got = minhash.near_duplicates(docs(spark, [(None, nobody), (7, nobody + " more")])).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(None, 7, False), (7, 7, True)}
     got = minhash.near_duplicates(docs(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f"), (5, "q"), (5, "q"), (5, "r s")])).collect()
     assert [(r["component_id"], r["kept"]) for r in sorted(got, key=lambda r: (r["doc_id"] or -1, r["n_shingles"]))] == [(9, False)] * 2 + [(5, True)] * 3 + [(9, True)]
 
