@@ -177,8 +177,9 @@ def test_nearest(spark, monkeypatch):
     rows += [(300, None), (301, []), (302, [0.0] * 6), (303, [math.nan] * 6), (304, [math.inf] + [1.0] * 5), (305, [None] + [1.0] * 5), (None, [1.0] * 6)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     got = {}
-    for shard_rows in (20_000, 30):
-        out = ann.nearest(df, F.coalesce(F.col("vec_id") % 5 == 0, F.lit(False)), k=5, shard_rows=shard_rows).collect()
+    for shard_rows, sample in ((20_000, 8192), (30, 8192), (7, 40)):
+        monkeypatch.setattr(ann, "SAMPLE", sample)
+        out = ann.nearest(df, F.col("vec_id") % 5 == 0, k=5, shard_rows=shard_rows).collect()
         got[shard_rows] = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out}
     x = {i: np.array(v, dtype=np.float64) for i, v in sound.items()}
     for q in (i for i in x if i % 5 == 0):
@@ -189,6 +190,16 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_of_extreme_and_repeated_rows(spark):
+    rows = [(0, [1e200, 2e200, 0.0]), (1, [1e-200, 2e-200, 1e-200]), (2, [3.0, 1.0, 1.0]), (3, [1.0, 2.0]), (3, [2.0, 1.0]), (3, [2.0, 1.0]), (4, [5e-324, 0.0, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("vec_id").isin(0, 3), k=2).collect()
+    assert len(out) == 2 + 3 * 2
+    far = {r["vec_id"]: r["score"] for r in out if r["query_id"] == 0}
+    assert far == {1: pytest.approx(5 / math.sqrt(5 * 6)), 2: pytest.approx(5 / math.sqrt(5 * 11))}
+    assert sorted(round(r["score"], 9) for r in out if r["query_id"] == 3) == [0.8, 0.8, 0.8, 0.8, 1.0, 1.0]
+
+
 def test_relaxed_search_recall(spark):
     exact = {(r["query_id"], r["vec_id"]) for r in queries.op9_ann(spark, MID).collect()}
     vectors = spark.read.parquet(f"{MID}/embeddings.parquet").select("vec_id", "embedding")
