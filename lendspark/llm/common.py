@@ -43,6 +43,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Rows of ids or pairs (up to 40 bytes each) that may be broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, narrow rows, to be broadcast if a count shows that it has few."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made, once nothing reads them any more."""
     for df in tables:

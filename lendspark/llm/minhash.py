@@ -22,13 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, let, written
+from .common import discard, few, let, written
 from .components import components
 from .textbytes import Prefix, mix
 
-#: Rows of ids or pairs (up to 40 bytes each) that may be broadcast; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
 #: Buckets of up to so many classes are compared pair by pair.
 SMALL = 8
 
@@ -119,11 +116,6 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, seed: int = 1
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_type}, size long, node binary, keys array<long>, low array<long>")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, items): the full sets of all texts whose doc_ids ``nodes`` (node, doc_id) has.
 
@@ -135,7 +127,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             rows = [(_name(s), s.view(np.int64)) for s in shingle_sets(batch["text"].tolist(), words) if len(s)]
             yield pd.DataFrame(rows, columns=["node", "items"])
 
-    ids = _few(nodes.select(F.col("doc_id").cast(doc_type).alias("__id")).distinct())
+    ids = few(nodes.select(F.col("doc_id").cast(doc_type).alias("__id")).distinct())
     return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInPandas(run, "node binary, items array<long>")
 
 
@@ -143,8 +135,8 @@ def _confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int
     """Those of ``pairs`` (u, v) whose full sets are similar enough."""
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(members.select("node", "doc_id"), "node")
     sets = written(_sets(docs, nodes, words), "sets")
-    v = sets.select(F.col("node").alias("v"), F.col("items").alias("iv")).join(_few(pairs), "v")
-    u = sets.select(F.col("node").alias("u"), F.col("items").alias("iu")).join(_few(pairs.select("u").distinct()), "u", "left_semi")
+    v = sets.select(F.col("node").alias("v"), F.col("items").alias("iv")).join(few(pairs), "v")
+    u = sets.select(F.col("node").alias("u"), F.col("items").alias("iu")).join(few(pairs.select("u").distinct()), "u", "left_semi")
     both = F.size(F.array_intersect("iu", "iv"))
     links = written(v.join(u, "u").where(100 * both >= percent * (F.size("iu") + F.size("iv") - both)).select("u", "v").distinct(), "links")
     discard(sets)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, uniform
+from .common import n_words, uniform, written
 
 
 def quality_weight(text: Column) -> Column:
@@ -65,28 +65,32 @@ def mix(
     share: float = 1.5,
     most_epochs: float = 2.0,
     seed: int = 17,
-    buckets: int = 256,
+    buckets: int = 4096,
     size: Column | None = None,
     weight: Column | None = None,
+    luck: Column | None = None,
 ) -> DataFrame:
-    """``docs`` (doc_id, source, and text or ``size`` and ``weight``), with size,
-    source_size, target and taken.
+    """The columns of ``docs`` but text, with size, source_size, target and taken.
 
+    ``docs`` has doc_id, source and text, or ``size``, ``weight`` and ``luck``
+    (a number in (0, 1) for each row) say what is to be known of the text.
     taken is size times the number of times the mix takes the document. A
     source's taken words miss its target by at most half of one document. A
     source may hold most rows, so its sampling order isn't sorted in one task:
     keys fall into ``buckets`` ranges, whose sizes are prefix-summed first, and
     rows are sorted and summed within a range. Null source: a source of its
-    own. Null or empty text: size 0, taken 0. Rows with the same doc_id and
-    text draw the same key and follow each other in any order.
+    own. Null or empty text: size 0, taken 0. Rows equal in doc_id and text
+    draw the same key and follow each other in any order. Columns of ``docs``
+    that are called like a result are replaced.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    names = [c for c in docs.columns if c not in ("text", "size", "source_size", "target", "taken")]
     size = n_words("text") if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    rows = docs.select(*names, size.cast("long").alias("size"), (-F.log(u) / weight).alias("__key"))
+    luck = uniform(F.lit(seed), F.col("doc_id"), F.xxhash64("text")) if luck is None else luck
+    rows = docs.select(*names, size.cast("long").alias("size"), (-F.log(luck) / weight).alias("__key"))
     bucket = F.least(F.floor(F.lit(buckets) * (1 - F.exp(-F.col("__key")))), F.lit(buckets - 1)).cast("int")
-    rows = rows.withColumn("__b", bucket)
+    # Texts are measured once; all that follows reads narrow rows.
+    rows = written(rows.withColumn("__b", bucket), "measured")
     ranges = rows.groupBy(F.col("source").alias("__s"), F.col("__b").alias("__c")).agg(F.sum("size").alias("__n"))
     targets = source_targets(ranges.groupBy(F.col("__s").alias("source")).agg(F.sum("__n").alias("source_size")), weights, share, most_epochs)
     before = Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)

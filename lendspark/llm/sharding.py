@@ -10,21 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import columns, written
+
 #: Fixed values of the published algorithm's generator and of its arithmetic.
 MULTIPLIER = 2862933555777941757
 TWO_64 = 2**64
 
-#: Jumps after which the loop ends. A key makes ln(shards) jumps on average;
-#: for a million shards, more than 128 have a chance below 1e-80.
-MOST_JUMPS = 128
-
 
 def jump_hash(key: Column, shards: int) -> Column:
     """The shard, from 0 to ``shards`` - 1, of a whole-number key.
 
     The 64-bit products wrap; as Spark's bigint raises on overflow, they are
     taken as decimals of up to 38 digits, which hold them exactly. A null key
-    counts as 0.
+    counts as 0. A jump lands at least one shard further, so ``shards`` steps
+    always suffice; those after the last jump change nothing.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -41,7 +40,7 @@ def jump_hash(key: Column, shards: int) -> Column:
         nxt = F.struct(k.alias("k"), acc["j"].alias("b"), j.cast("long").alias("j"))
         return F.when(acc["j"] < shards, nxt).otherwise(acc)
 
-    steps = F.sequence(F.lit(1), F.lit(min(shards, MOST_JUMPS)))
+    steps = F.sequence(F.lit(1), F.lit(shards))
     return F.aggregate(steps, start, jump, lambda acc: acc["b"].cast("int"))
 
 
@@ -51,19 +50,26 @@ def assign_shards(df: DataFrame, key: str, shards: int, out: str = "shard", grow
     return df.withColumn(grown, jump_hash(F.col(key), shards + 1)) if grown else df
 
 
-def number_slots(df: DataFrame, key: str, shard: str = "shard", out: str = "slot", ties: tuple[str, ...] = (), chunk_bits: int = 12) -> DataFrame:
+def number_slots(df: DataFrame, key: str, shard: str = "shard", out: str = "slot", ties: tuple[str, ...] = ()) -> DataFrame:
     """Numbers the rows of each shard from 0, without gaps, by key and ``ties``.
 
-    A shard may hold any number of rows, so no task sorts a whole shard: keys
-    are cut into ranges of 2**chunk_bits, each range is numbered on its own,
-    and a prefix sum over the ranges' row counts adds the offset. A null key
-    comes first; rows equal in key and ties get their numbers in any order.
+    A shard may hold any number of rows, so no task sorts a whole shard: rows
+    are cut into ranges of shard, key and ties by sampled quantiles, whatever
+    the keys are; each range is numbered on its own, and a prefix sum over the
+    ranges' row counts adds the offset. A null key comes first; rows equal in
+    key and ties get their numbers in any order, and many of them fall into
+    several ranges. The ranges are written once, as a second sampling might cut
+    elsewhere. Columns of ``df`` called like ``out`` are replaced.
     """
-    rows = df.withColumn("__chunk", F.coalesce(F.shiftright(F.col(key).cast("long"), chunk_bits), F.lit(-(2**63))))
-    sizes = rows.groupBy(F.col(shard).alias("__s"), F.col("__chunk").alias("__c")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__s", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(shard, "__chunk").orderBy(F.col(key), *ties)
-    rows = rows.withColumn("__row", F.row_number().over(within) - 1)
-    rows = rows.join(sizes, (F.col(shard) == F.col("__s")) & (F.col("__chunk") == F.col("__c")))
-    return rows.withColumn(out, F.col("__before") + F.col("__row")).select(*df.columns, out)
+    order = [shard, key, *ties]
+    rows = df.drop(out).withColumn("__any", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order, "__any").sortWithinPartitions(*order, "__any")
+    # The number of the range, and under its lowest 33 bits the row's place in it.
+    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()).drop("__any"), "ranges")
+    rows = rows.withColumn("__range", F.shiftright("__at", 33))
+    sizes = rows.groupBy(F.col(shard).alias("__s"), F.col("__range").alias("__r")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__s", "__r", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    # As many rows as tasks, and one more for each shard that begins within a range.
+    rows = rows.join(F.broadcast(sizes), (F.col(shard) == F.col("__s")) & (F.col("__range") == F.col("__r")))
+    return rows.withColumn(out, F.col("__before") + F.col("__at") - F.col("__first")).select(*columns(df.drop(out)), out)

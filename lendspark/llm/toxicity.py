@@ -351,9 +351,12 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scorer(t) < 0.5 for t in batch.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Plain names on the way, as Python functions don't take names with dots.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = docs.columns.index("text")
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 class _Scorer:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -177,6 +178,21 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, rows).where("false")).count() == 0
 
 
+def test_mixing_takes_the_smallest_keys(spark):
+    """Which documents: those of the smallest exponential keys, by quality, until the words come nearest the target."""
+    table = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "source", "text")
+    keys = table.select("doc_id", "source", (-F.log(mixing.uniform(F.lit(17), F.col("doc_id"), F.xxhash64("text"))) / mixing.quality_weight(F.col("text"))).alias("key")).collect()
+    got = {r["doc_id"]: r for r in mixing.mix(table).collect()}
+    assert len({r["taken"] // r["size"] for r in got.values() if r["size"]}) > 1
+    for source in {r["source"] for r in got.values()}:
+        mine = [got[r["doc_id"]] for r in sorted((k for k in keys if k["source"] == source), key=lambda r: (r["key"], r["doc_id"]))]
+        epochs, rest = divmod(mine[0]["target"], mine[0]["source_size"])
+        at = 0
+        for r in mine:
+            assert r["taken"] == r["size"] * (epochs + (at + r["size"] / 2 < rest))
+            at += r["size"]
+
+
 def license_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
@@ -191,6 +207,19 @@ def check_licenses(rows, got):
         assert r["first_word"] == (min(every) if every else None) and r["last_word"] == (max(every) if every else None)
         assert r["base_labels"] == ",".join(sorted(k for k, v in places.items() if v))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    # Labels and scores, one place after the other.
+    texts = {i: license_words(t) for i, t in rows.items()}
+    df = Counter(w for ws in texts.values() for w in set(ws))
+    index = licenses.rare_words(df, len(texts))
+    for r in got:
+        ws, labels, shares = texts[r["doc_id"]], set(filter(None, r["base_labels"].split(","))), [1.0] if r["base_labels"] else []
+        for (label, key, passage), words in zip(licenses.TEMPLATES, index, strict=True):
+            p, key, rare = passage.split(), key.split(), [w for w in words if w in ws][:8]
+            votes = max((len({p[k] for k in range(len(p)) if p[k] in rare and 0 <= k + rel < len(ws) and ws[k + rel] == p[k]}) for rel in range(-len(p), len(ws))), default=0)
+            if votes >= max(1, min(3, len(words))) and any(ws[k : k + len(key)] == key for k in range(len(ws))):
+                labels.add(label)
+                shares.append(votes / len(rare))
+        assert r["labels"] == ",".join(sorted(labels)) and r["score"] == pytest.approx(max(shares, default=0))
 
 
 def test_licenses(spark):
@@ -204,11 +233,15 @@ def test_licenses(spark):
         7: "Licensed under CC BY-NC 4.0.",
         8: "the license is under the software of the mit",
         9: "İmit license K license general public  license",
+        10: " ".join(t for _, _, t in licenses.TEMPLATES) + " " + "prose about software and copies " * 200,
+        11: "filler " * 3000 + licenses.TEMPLATES[9][2].upper() + " then " + licenses.TEMPLATES[14][2],
+        12: licenses.TEMPLATES[7][2].replace("redistribution and use in source and binary forms", "use"),
     }
     got = licenses.scan(docs(spark, list(rows.items()))).collect()
     check_licenses(rows, got)
     labels = {r["doc_id"]: r["labels"] for r in got}
     assert labels[4] == "bsd" and labels[7] == "cc-by-nc" and labels[8] == "" and labels[2] == "apache,mit"
+    assert labels[10] == ",".join(sorted({x for x, _, _ in licenses.TEMPLATES})) and labels[11] == "isc,zlib" and labels[12] == ""
     assert licenses.scan(docs(spark, [(1, "a")]).where("false")).count() == 0
 
 
@@ -248,6 +281,15 @@ def test_sharding(spark):
     assert sharding.number_slots(sharding.assign_shards(df.where("false"), "doc_id", 8), "doc_id").count() == 0
 
 
+def test_slots_of_sparse_and_repeated_keys(spark):
+    """Ranges follow the rows, not the keys: there are no more of them than tasks and shards."""
+    sparse = spark.range(20_000).select(F.xxhash64("id").alias("k"), F.lit("a").alias("slot"))
+    hot = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("k"), F.lit("b").alias("slot"))
+    df = sharding.assign_shards(sparse.unionByName(hot), "k", 8)
+    got = sharding.number_slots(df, "k").groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.min("slot").alias("a"), F.max("slot").alias("z")).collect()
+    assert sum(r["n"] for r in got) == 30_000 and all((r["d"], r["a"], r["z"]) == (r["n"], 0, r["n"] - 1) for r in got)
+
+
 def test_op8(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
     for r in queries.op8_sharding(spark, DIR).collect():

@@ -332,6 +332,34 @@ def test_pipeline(spark):
         assert r["n"] == r["d"] == r["m"] + 1
 
 
+def test_pipeline_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, null and empty texts, and columns called like the stages' own."""
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, two = text(60), text(60)
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").orderBy("item_id").first()["text"]
+    texts = [(5, one), (5, one), (None, one + " end"), (None, two), (None, text(40)), (3, None), (3, ""), (3, text(30)), (3, text(30)), (9, "you idiot and moron"), (None, f"so. {item} and on")]
+    extra = ["score", "predicted", "shard", "Slot", "row", "id", "copy", "copies", "comp", "leak", "size", "target", "taken", "luck", "node", "text_digest", "drawn", "a.b"]
+    rows = [(i, t, "en", "s", 0, *[f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    clean = stage["toxicity"](spark, df, DIR)
+    assert clean.columns == df.columns and ids(clean) == ids(df.where("doc_id is null or doc_id <> 9"))
+    unique = stage["near_duplicates"](spark, clean, DIR)
+    left = unique.collect()
+    assert unique.columns == df.columns and [r["doc_id"] for r in left if (r["text"] or "").startswith(one)] == [5] and len(left) == 8
+    pure = stage["decontamination"](spark, unique, DIR)
+    assert pure.columns == df.columns and pure.count() == 7 and not pure.where(F.col("text").contains(item)).count()
+    mixed = stage["mixing"](spark, pure, DIR)
+    words = {r["row"]: len(r["text"].split()) for r in pure.collect() if r["text"]}
+    taken = [r["row"] for r in mixed.collect()]
+    assert mixed.columns == df.columns and set(taken) == set(words) and max(taken.count(k) for k in words) <= 2
+    assert abs(sum(words[k] for k in taken) - 1.5 * sum(words.values())) <= max(words.values()) / 2
+    out = stage["sharding"](spark, mixed, DIR)
+    assert set(out.columns) == {c for c in df.columns if c not in ("shard", "Slot")} | {"source_shard", "source_Slot", "shard", "slot"} and out.count() == mixed.count()
+
+
 def test_pipeline_of_nothing(spark):
     docs_ = spark.read.parquet(f"{DIR}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
