@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame. ``run`` applies them to the documents table; the
 stages may also be run one by one with a written table between them.
+
+Stages decide about rows, not ids: doc_ids may be null or repeat. ``docs`` may
+have further columns of any names; all stages but the last return its columns.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendspark.llm import decontam, minhash, mixing, sharding, toxicity
-from lendspark.llm.common import table, written
+from lendspark.llm.common import columns, discard, few, free_name, table, uniform, written
 
 SHARDS = 8
 
@@ -26,38 +29,59 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one of smallest doc_id.
+    """Keeps one row of each component: that of the smallest doc_id, null last.
 
-    Sets of five-word shingles, similarity of at least 0.8. Texts without words
-    are their own components. Rows that share a kept doc_id all stay; rows
-    without doc_id have no component to stand for and go.
+    Sets of five-word shingles, similarity of at least 0.8. Of repeated rows
+    one stays. Texts without words are their own components and all stay.
     """
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
-    return docs.join(kept.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    row, copy = free_name("row", docs), free_name("copy", docs)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80)
+    linked = found.where("doc_id != component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("comp"))
+    linked = written(linked.unionByName(linked.select(F.col("comp").alias("id"), "comp").distinct()), "linked")
+    ids = rows.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col(row).alias("id")).alias("order"))
+    linked = linked.join(ids, F.col("id") == F.col("r")).select("id", "comp", "order")
+    best = linked.groupBy(F.col("comp").alias("c")).agg(F.min("order")["id"].alias("best"))
+    copies = written(linked.join(best, F.col("comp") == F.col("c")).where("id != best").select(F.col("id").alias(copy)), "copies")
+    return rows.join(few(copies), F.col(row) == F.col(copy), "left_anti").select(*columns(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item, exact or with other slot values."""
-    leaks = decontam.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps documents that hold no benchmark item, exact or with other slot values.
+
+    Equal texts share one decision, whatever their ids.
+    """
+    name, leak = free_name("text_digest", docs), free_name("leak", docs)
+    texts = docs.select(F.md5("text").alias("doc_id"), "text").where("text is not null")
+    leaks = decontam.contaminated(texts, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    leaks = written(leaks.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.withColumn(name, F.md5("text")).join(few(leaks), F.col(name) == F.col(leak), "left_anti").select(*columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: a document that it takes twice has two rows.
 
-    Words that are taken come to 150 % of those of ``docs``; documents without
-    words have none to take and go.
+    Each row is taken or left on its own, also where doc_ids repeat. Words that
+    are taken come to 150 % of those of ``docs``; documents without words have
+    none to take and go.
     """
-    rows = written(docs.select(*docs.columns, mixing.n_words("text").alias("__size"), mixing.quality_weight(F.col("text")).alias("__weight")), "to-mix")
-    narrow = rows.select("doc_id", "source", "__size", "__weight")
-    taken = mixing.mix(narrow, size=F.col("__size"), weight=F.col("__weight")).where("taken > 0")
-    copies = taken.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__copies"))
-    mixed = rows.join(copies, "doc_id").where("__size > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    row, drawn, copies, copy = (free_name(n, docs) for n in ("row", "drawn", "copies", "copy"))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "to-mix")
+    texts = rows.select(F.col(row).alias("doc_id"), "source", "text", uniform(F.lit("mix"), F.col("doc_id"), F.xxhash64("text")).alias("luck"))
+    taken = mixing.mix(texts, luck=F.col("luck")).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias(drawn), F.sequence(F.lit(1), F.try_divide("taken", "size").cast("int")).alias(copies))
+    both = rows.join(taken, F.col(row) == F.col(drawn)).select(*columns(docs), F.explode(copies).alias(copy))
+    return both.select(*columns(docs))
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard, by jump hash of doc_id, and slot, the row's place in it."""
+    """Adds shard, by jump hash of doc_id, and slot, the row's place in it.
+
+    Columns of these names that ``docs`` already has are called
+    source_shard and source_slot then.
+    """
+    for name in [c for c in docs.columns if c.lower() in ("shard", "slot")]:
+        docs = docs.withColumnRenamed(name, free_name(f"source_{name}", docs))
     placed = sharding.assign_shards(docs, "doc_id", SHARDS)
     slots = sharding.number_slots(placed, "doc_id")
     return slots.withColumn("slot", F.col("slot").cast("long"))
@@ -76,8 +100,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, in order, over documents. A stage's table goes when the next one's is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
