@@ -69,15 +69,24 @@ def param_grid(estimator, grid: Mapping[str, Sequence]) -> list:
 
 
 def train(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, name: str = "gbt", grid: Mapping[str, Sequence] | None = None, folds: int = 3, **params) -> PipelineModel:
-    """Preprocessing and classifier; with a grid, cross-validated on the area under the ROC curve."""
-    model = preprocessing(numeric, categorical).fit(df)
-    ready = model.transform(df)
-    estimator = classifier(name, target, **params)
-    if grid:
-        evaluator = BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC")
-        estimator = CrossValidator(estimator=estimator, estimatorParamMaps=param_grid(estimator, grid), evaluator=evaluator, numFolds=folds, parallelism=2, seed=42)
-    best = estimator.fit(ready)
-    return PipelineModel(stages=[*model.stages, best.bestModel if grid else best])
+    """Preprocessing and classifier; with a grid, cross-validated on the area under the ROC curve.
+
+    In cross-validation the preprocessing is fitted in each fold, so that no
+    fold sees another's medians and scales.
+    """
+    made = classifier(name, target, **params)
+    estimator = Pipeline(stages=[*preprocessing(numeric, categorical).getStages(), made])
+    if not grid:
+        return estimator.fit(df)
+    evaluator = BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC")
+    return CrossValidator(estimator=estimator, estimatorParamMaps=param_grid(made, grid), evaluator=evaluator, numFolds=folds, parallelism=2, seed=42).fit(df).bestModel
+
+
+def save_model(model: PipelineModel, folder: str, version: str) -> str:
+    """Stores a model as one version under ``folder``, on any Hadoop file system; its path."""
+    path = f"{folder.rstrip('/')}/{version}"
+    model.write().overwrite().save(path)
+    return path
 
 
 def best_params(model: PipelineModel, names: Sequence[str]) -> dict:
@@ -102,11 +111,14 @@ def evaluate(predictions: DataFrame, target: str, least_auc: float = 0.70) -> Da
     return row.withColumns({k: F.lit(round(v, 4)) for k, v in values.items()} | {"promoted": F.lit(values["roc_auc"] >= least_auc)})
 
 
-def compare_models(models: Mapping[str, PipelineModel], test: DataFrame, target: str) -> DataFrame:
-    """One row of metrics for each model, ranked by the area under the ROC curve."""
+def compare_models(models: Mapping[str, PipelineModel | str], test: DataFrame, target: str) -> DataFrame:
+    """One row of metrics for each model, ranked by the area under the ROC curve.
+
+    A model is given itself or by the path of a stored version."""
     out = None
     for name, model in models.items():
-        row = evaluate(scores(model, test), target).withColumn("model", F.lit(name))
+        fitted = PipelineModel.load(model) if isinstance(model, str) else model
+        row = evaluate(scores(fitted, test), target).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("roc_auc"), "model")))  # one row a model
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ def _tiers(df: DataFrame) -> DataFrame:
 
 
 def el_band(rate: Column) -> Column:
-    """How healthy a portfolio's loss rate (a share of EAD) is."""
+    """How healthy a portfolio's loss rate (a share of EAD) is. The bands."""
     return F.when(rate < 0.01, "very healthy").when(rate < 0.03, "healthy").when(rate < 0.05, "moderate").when(rate < 0.10, "elevated").otherwise("high")
 
 
@@ -71,6 +71,11 @@ def tier_profile(df: DataFrame) -> DataFrame:
     return out.orderBy("avg_pd")
 
 
+def scenarios_from(config: Mapping[str, Mapping]) -> list[tuple[str, float, float]]:
+    """Scenarios of a configuration: name -> pd_multiplier and lgd_multiplier, each 1 if absent, in its order."""
+    return [(name, float(given.get("pd_multiplier", 1.0)), float(given.get("lgd_multiplier", 1.0))) for name, given in config.items()]
+
+
 def scenario_table(df: DataFrame, scenarios: Sequence[tuple[str, float, float]] = SCENARIOS) -> DataFrame:
     """The scenarios as rows: a configuration of a few."""
     rows = [(k, *s) for k, s in enumerate(scenarios)]

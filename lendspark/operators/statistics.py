@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_1_tail, kolmogorov_p
 
+#: Ranges that a feature's values are cut into for running sums.
+RANGES = 1024
+
 
 def long_form(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
     """(keep..., feature, value double) of the features that ``df`` has."""
@@ -27,22 +30,11 @@ def long_text(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
     return df.select(*keep, *[F.col(c).cast("string").alias(c) for c in names]).unpivot(list(keep), names, "feature", "value").where("value is not null")
 
 
-def quantile_edges(rows: DataFrame, bins: int, digits: int = 9, accuracy: int | None = None) -> DataFrame:
-    """(feature, edges): distinct linear quantiles, rounded so that engines agree.
-
-    ``accuracy`` takes approximate quantiles instead, for very large inputs.
-    """
-    at = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    q = F.percentile_approx("value", at, accuracy) if accuracy else F.percentile("value", at)
-    edges = rows.groupBy("feature").agg(q.alias("q"))
-    return edges.select("feature", F.array_sort(F.array_distinct(F.transform("q", lambda x: F.round(x, digits)))).alias("edges"))
-
-
 # ── scorecard ────────────────────────────────────────────────────────────────
 
 
 def iv_strength(iv: Column) -> Column:
-    """The usual reading of an information value."""
+    """The usual reading of an information value. The bands."""
     return F.when(iv < 0.02, "useless").when(iv < 0.10, "weak").when(iv < 0.30, "medium").when(iv < 0.50, "strong").otherwise("suspicious")
 
 
@@ -60,14 +52,14 @@ def _woe(bins: DataFrame, smoothing: float) -> DataFrame:
 def woe_numeric(df: DataFrame, features: Sequence[str], target: str, bins: int = 10, smoothing: float = 0.5) -> DataFrame:
     """feature, bin, n, good, bad, woe, iv_part, iv: quantile bins (a, b], the first with its lower end.
 
-    A feature of fewer than two values has one bin and IV 0.
+    ``target`` is 0 or 1. A feature of fewer than two values has one bin and IV 0.
     """
-    rows = long_form(df, features, target).where(F.col(target).isNotNull())
-    edges = quantile_edges(rows, bins)
-    rows = rows.join(F.broadcast(edges), "feature")  # one row a feature
+    values = _value_counts(long_form(df, features, target), target)
+    edges = quantile_edges(values.select("feature", "value", (F.col("c0") + F.col("c1")).alias("c"), (F.col("b0") + F.col("b1")).alias("b")), bins)
+    rows = values.join(F.broadcast(edges), "feature")  # one row a feature
     below = F.size(F.filter("edges", lambda e: e < F.round("value", 9)))
-    counts = rows.groupBy("feature", F.greatest(F.lit(1), below).alias("bin"), (F.size("edges") < 2).alias("flat")).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("bad"))
-    out = _woe(counts, smoothing)
+    counts = rows.groupBy("feature", F.greatest(F.lit(1), below).alias("bin"), (F.size("edges") < 2).alias("flat")).agg(F.sum(F.col("c0") + F.col("c1")).alias("n"), F.sum("c1").alias("bad"))
+    out = _woe(counts.where("n > 0"), smoothing)
     return out.withColumns({c: F.when(F.col("flat"), 0.0).otherwise(F.col(c)) for c in ("woe", "iv_part", "iv")}).select("feature", "bin", "n", "good", "bad", "woe", "iv_part", "iv")
 
 
@@ -95,6 +87,24 @@ def iv_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
 # ── rank statistics ──────────────────────────────────────────────────────────
 
 
+def _ranges(counts: DataFrame) -> DataFrame:
+    """``counts`` (feature, value, ...) with part: the values' range, of about equally many values of the feature each.
+
+    Cut points are approximate quantiles of the feature's values, so that an outlier moves none.
+    """
+    at = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    cuts = counts.groupBy("feature").agg(F.array_distinct(F.percentile_approx("value", at, 4 * RANGES)).alias("cuts"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        up = (acc["lo"] < acc["hi"]) & (F.get("cuts", mid) <= F.col("value"))
+        return F.struct(F.when(up, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(F.least(acc["hi"], F.greatest(mid, acc["lo"]))).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(RANGES.bit_length()))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size("cuts").alias("hi")), halve, lambda acc: acc["lo"])
+    return counts.join(F.broadcast(cuts), "feature").withColumn("part", found).drop("cuts")  # one row a feature
+
+
 def _value_counts(rows: DataFrame, group: str) -> DataFrame:
     """(feature, value, c0, c1, b0, b1): counts of both groups at and before a value.
 
@@ -103,20 +113,37 @@ def _value_counts(rows: DataFrame, group: str) -> DataFrame:
     own, and a prefix sum over the ranges' totals is added.
     """
     g = F.col(group)
-    counts = rows.groupBy("feature", "value").agg(F.count_if(g == 0).alias("c0"), F.count_if(g == 1).alias("c1"))
-    ends = counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    counts = counts.join(F.broadcast(ends), "feature")
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(255), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256))).otherwise(0)
-    counts = counts.withColumn("part", part.cast("int")).drop("lo", "hi")
+    counts = rows.where(g.isin(0, 1)).groupBy("feature", "value").agg(F.count_if(g == 0).alias("c0"), F.count_if(g == 1).alias("c1"))
+    counts = _ranges(counts)
     parts = counts.groupBy("feature", "part").agg(F.sum("c0").alias("p0"), F.sum("c1").alias("p1"))
     before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     parts = parts.select("feature", "part", zero(F.sum("p0").over(before)).alias("o0"), zero(F.sum("p1").over(before)).alias("o1"))
     within = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"w0": zero(F.sum("c0").over(within)), "w1": zero(F.sum("c1").over(within))}).join(parts, ["feature", "part"])
+    counts = counts.withColumns({"w0": zero(F.sum("c0").over(within)), "w1": zero(F.sum("c1").over(within))}).join(F.broadcast(parts), ["feature", "part"])  # RANGES rows a feature
     return counts.select("feature", "value", "c0", "c1", (F.col("o0") + F.col("w0")).alias("b0"), (F.col("o1") + F.col("w1")).alias("b1"))
 
 
+def quantile_edges(values: DataFrame, bins: int, digits: int = 9) -> DataFrame:
+    """(feature, edges): distinct linear quantiles, rounded so that engines agree.
+
+    ``values`` (feature, value, c, b) has the count of a value and that of the
+    smaller ones: a quantile lies between the values whose ranks embrace it.
+    """
+    values = values.where("c > 0")
+    n = values.groupBy("feature").agg(F.sum("c").alias("n"))
+    rows = values.join(F.broadcast(n), "feature")  # one row a feature
+    place = lambda k: k * (F.col("n") - 1) / bins
+    holds = lambda rank: (rank >= F.col("b")) & (rank < F.col("b") + F.col("c"))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(bins)), lambda k: holds(F.floor(place(k))) | holds(F.ceil(place(k))))
+    rows = rows.select("feature", "n", "value", "b", "c", F.explode(hits).alias("k"))
+    low, high = F.max(F.when(holds(F.floor(place(F.col("k")))), F.col("value"))), F.max(F.when(holds(F.ceil(place(F.col("k")))), F.col("value")))
+    at = rows.groupBy("feature", "n", "k").agg(low.alias("low"), high.alias("high"))
+    rest = place(F.col("k")) - F.floor(place(F.col("k")))
+    at = at.select("feature", F.round(F.col("low") * (1 - rest) + F.col("high") * rest, digits).alias("edge"))
+    return at.groupBy("feature").agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+
+
 def kruskal_ranking(df: DataFrame, features: Sequence[str], target: str, top_k: int | None = 20, alpha: float = 0.05, least_rows: int = 30) -> DataFrame:
     """feature, n, h (2 digits), p_value, significant, rank: Kruskal-Wallis of two classes, with ties.
 
@@ -180,6 +207,7 @@ def classification_metrics(scored: DataFrame, target: str, score: str, threshold
 
 
 def psi_severity(psi: Column, warning: float = 0.10, alert: float = 0.25) -> Column:
+    """The bands."""
     return F.when(psi < warning, "none").when(psi < alert, "moderate").otherwise("significant")
 
 
@@ -189,12 +217,13 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
     n_bins 0 marks a feature of fewer than three edges or with an empty side,
     whose psi of 0 says nothing.
     """
-    a, b = long_form(ref, features), long_form(cur, features)
-    edges = quantile_edges(a, bins)
-    rows = a.withColumn("g", F.lit(0)).unionByName(b.withColumn("g", F.lit(1))).join(F.broadcast(edges), "feature")
+    rows = long_form(ref, features).withColumn("g", F.lit(0)).unionByName(long_form(cur, features).withColumn("g", F.lit(1)))
+    values = _value_counts(rows, "g")
+    edges = quantile_edges(values.select("feature", "value", F.col("c0").alias("c"), F.col("b0").alias("b")), bins)
+    values = values.join(F.broadcast(edges), "feature")  # one row a feature
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     bin_ = F.size(F.filter(inner, lambda e: e <= F.round("value", 9)))
-    counts = rows.groupBy("feature", bin_.alias("bin"), F.size("edges").alias("n_edges")).agg(F.count_if(F.col("g") == 0).alias("c0"), F.count_if(F.col("g") == 1).alias("c1"))
+    counts = values.groupBy("feature", bin_.alias("bin"), F.size("edges").alias("n_edges")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     n = Window.partitionBy("feature")  # bins of a feature
     counts = counts.withColumns({"n0": F.sum("c0").over(n), "n1": F.sum("c1").over(n)})
     p, q = F.try_divide("c0", "n0") + epsilon, F.try_divide("c1", "n1") + epsilon
@@ -238,6 +267,7 @@ def retraining_decision(report: DataFrame, critical: float = 0.25, warning: floa
 
 
 def js_severity(js: Column) -> Column:
+    """The bands."""
     return F.when(js < 0.05, "none").when(js < 0.15, "low").when(js < 0.30, "medium").otherwise("high")
 
 

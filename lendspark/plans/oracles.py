@@ -34,20 +34,20 @@ LINES = "lines AS (SELECT l.*, date_diff('day', o_orderdate::DATE, l_shipdate::D
 
 AGGS = {
     "bureau": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS BUREAU_COUNT, count(*) FILTER (l_linestatus = 'O') AS BUREAU_ACTIVE_COUNT,
-      count(*) FILTER (l_linestatus = 'F') AS BUREAU_CLOSED_COUNT, round(avg(greatest(0, days - 60)) + 1.7e-10, 8) AS BUREAU_DAY_OVERDUE_MEAN,
-      round(sum(l_extendedprice) + 1.7e-10, 8) AS BUREAU_AMT_CREDIT_SUM, round(sum(l_extendedprice * l_discount) + 1.7e-10, 8) AS BUREAU_AMT_DEBT_SUM,
-      round(sum(l_extendedprice * l_tax) + 1.7e-10, 8) AS BUREAU_AMT_OVERDUE_SUM, round(avg(-days) + 1.7e-10, 8) AS BUREAU_DAYS_CREDIT_MEAN FROM lines GROUP BY 1""",
+      count(*) FILTER (l_linestatus = 'F') AS BUREAU_CLOSED_COUNT, CAST(round(CAST(avg(greatest(0, days - 60)) AS DECIMAL(38,9)), 6) AS DOUBLE) AS BUREAU_DAY_OVERDUE_MEAN,
+      CAST(round(CAST(sum(l_extendedprice) AS DECIMAL(38,9)), 6) AS DOUBLE) AS BUREAU_AMT_CREDIT_SUM, CAST(round(CAST(sum(l_extendedprice * l_discount) AS DECIMAL(38,9)), 6) AS DOUBLE) AS BUREAU_AMT_DEBT_SUM,
+      CAST(round(CAST(sum(l_extendedprice * l_tax) AS DECIMAL(38,9)), 6) AS DOUBLE) AS BUREAU_AMT_OVERDUE_SUM, CAST(round(CAST(avg(-days) AS DECIMAL(38,9)), 6) AS DOUBLE) AS BUREAU_DAYS_CREDIT_MEAN FROM lines GROUP BY 1""",
     "previous": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS PREV_APP_COUNT, count(*) FILTER (l_returnflag = 'A') AS PREV_APPROVED_COUNT,
-      count(*) FILTER (l_returnflag = 'R') AS PREV_REFUSED_COUNT, round(avg(l_extendedprice) + 1.7e-10, 8) AS PREV_AMT_APP_MEAN,
-      round(avg(l_extendedprice * (1 - l_discount)) + 1.7e-10, 8) AS PREV_AMT_CREDIT_MEAN, round(avg(l_extendedprice * l_tax) + 1.7e-10, 8) AS PREV_DOWN_PAYMENT_MEAN,
-      round(avg(-days) + 1.7e-10, 8) AS PREV_DAYS_DECISION_MEAN, round(avg(l_quantity) + 1.7e-10, 8) AS PREV_CNT_PAYMENT_MEAN FROM lines GROUP BY 1""",
-    "installments": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS INSTAL_COUNT, round(avg(days - 60) + 1.7e-10, 8) AS INSTAL_DPD_MEAN, CAST(max(days - 60) AS INT) AS INSTAL_DPD_MAX,
-      count(*) FILTER (days - 60 > 0) AS INSTAL_LATE_COUNT, round(avg(l_extendedprice * (1 - l_discount + l_tax) - l_extendedprice) + 1.7e-10, 8) AS INSTAL_PAYMENT_DIFF_MEAN,
+      count(*) FILTER (l_returnflag = 'R') AS PREV_REFUSED_COUNT, CAST(round(CAST(avg(l_extendedprice) AS DECIMAL(38,9)), 6) AS DOUBLE) AS PREV_AMT_APP_MEAN,
+      CAST(round(CAST(avg(l_extendedprice * (1 - l_discount)) AS DECIMAL(38,9)), 6) AS DOUBLE) AS PREV_AMT_CREDIT_MEAN, CAST(round(CAST(avg(l_extendedprice * l_tax) AS DECIMAL(38,9)), 6) AS DOUBLE) AS PREV_DOWN_PAYMENT_MEAN,
+      CAST(round(CAST(avg(-days) AS DECIMAL(38,9)), 6) AS DOUBLE) AS PREV_DAYS_DECISION_MEAN, CAST(round(CAST(avg(l_quantity) AS DECIMAL(38,9)), 6) AS DOUBLE) AS PREV_CNT_PAYMENT_MEAN FROM lines GROUP BY 1""",
+    "installments": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS INSTAL_COUNT, CAST(round(CAST(avg(days - 60) AS DECIMAL(38,9)), 6) AS DOUBLE) AS INSTAL_DPD_MEAN, CAST(max(days - 60) AS INT) AS INSTAL_DPD_MAX,
+      count(*) FILTER (days - 60 > 0) AS INSTAL_LATE_COUNT, CAST(round(CAST(avg(l_extendedprice * (1 - l_discount + l_tax) - l_extendedprice) AS DECIMAL(38,9)), 6) AS DOUBLE) AS INSTAL_PAYMENT_DIFF_MEAN,
       count(*) FILTER (l_extendedprice * (1 - l_discount + l_tax) - l_extendedprice < 0) AS INSTAL_UNDERPAY_COUNT FROM lines GROUP BY 1""",
-    "credit_card": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS CC_MONTHS_COUNT, round(avg(l_extendedprice) + 1.7e-10, 8) AS CC_BALANCE_MEAN, round(avg(l_discount * 100000) + 1.7e-10, 8) AS CC_CREDIT_LIMIT_MEAN,
-      round(avg(l_extendedprice / nullif(l_discount * 100000, 0)) + 1.7e-10, 8) AS CC_UTILIZATION_MEAN, round(avg(l_extendedprice * l_tax) + 1.7e-10, 8) AS CC_PAYMENT_MEAN,
+    "credit_card": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS CC_MONTHS_COUNT, CAST(round(CAST(avg(l_extendedprice) AS DECIMAL(38,9)), 6) AS DOUBLE) AS CC_BALANCE_MEAN, CAST(round(CAST(avg(l_discount * 100000) AS DECIMAL(38,9)), 6) AS DOUBLE) AS CC_CREDIT_LIMIT_MEAN,
+      CAST(round(CAST(avg(l_extendedprice / nullif(l_discount * 100000, 0)) AS DECIMAL(38,9)), 6) AS DOUBLE) AS CC_UTILIZATION_MEAN, CAST(round(CAST(avg(l_extendedprice * l_tax) AS DECIMAL(38,9)), 6) AS DOUBLE) AS CC_PAYMENT_MEAN,
       CAST(sum(greatest(0, days - 60)) AS BIGINT) AS CC_DPD_SUM FROM lines GROUP BY 1""",
-    "pos_cash": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS POS_MONTHS_COUNT, round(avg(l_quantity) + 1.7e-10, 8) AS POS_CNT_INSTALMENT_MEAN, round(avg(l_quantity - l_linenumber) + 1.7e-10, 8) AS POS_CNT_FUTURE_MEAN,
+    "pos_cash": """SELECT l_orderkey AS SK_ID_CURR, count(*) AS POS_MONTHS_COUNT, CAST(round(CAST(avg(l_quantity) AS DECIMAL(38,9)), 6) AS DOUBLE) AS POS_CNT_INSTALMENT_MEAN, CAST(round(CAST(avg(l_quantity - l_linenumber) AS DECIMAL(38,9)), 6) AS DOUBLE) AS POS_CNT_FUTURE_MEAN,
       CAST(max(greatest(0, days - 60)) AS INT) AS POS_DPD_MAX, count(*) FILTER (days - 60 > 0) AS POS_LATE_MONTHS FROM lines GROUP BY 1""",
 }
 ORACLES: dict[str, str] = {f"agg_{k}": f"WITH {LINES} {sql}" for k, sql in AGGS.items()}
@@ -63,7 +63,7 @@ ORACLES["tier_profile"] = f"WITH {BOOK} SELECT risk_tier, count(*) AS n, round(a
 ORACLES["master_dataset"] = f"""WITH {LOAN}, {LINES}, b AS ({AGGS['bureau']}), p AS ({AGGS['previous']}), i AS ({AGGS['installments']}), c AS ({AGGS['credit_card']}), s AS ({AGGS['pos_cash']})
 SELECT SK_ID_CURR, TARGET, BUREAU_COUNT::DOUBLE AS BUREAU_COUNT, BUREAU_AMT_DEBT_SUM, PREV_APPROVED_COUNT::DOUBLE AS PREV_APPROVED_COUNT, PREV_CNT_PAYMENT_MEAN, INSTAL_DPD_MAX::DOUBLE AS INSTAL_DPD_MAX,
   INSTAL_LATE_COUNT::DOUBLE AS INSTAL_LATE_COUNT, CC_UTILIZATION_MEAN, POS_LATE_MONTHS::DOUBLE AS POS_LATE_MONTHS,
-  round(CASE WHEN AMT_INCOME_TOTAL > 0 THEN AMT_CREDIT / AMT_INCOME_TOTAL ELSE 0 END + 1.7e-10, 8) AS FEAT_DEBT_INCOME_RATIO
+  CAST(round(CAST(CASE WHEN AMT_INCOME_TOTAL > 0 THEN AMT_CREDIT / AMT_INCOME_TOTAL ELSE 0 END AS DECIMAL(38,9)), 6) AS DOUBLE) AS FEAT_DEBT_INCOME_RATIO
 FROM loan LEFT JOIN b USING (SK_ID_CURR) LEFT JOIN p USING (SK_ID_CURR) LEFT JOIN i USING (SK_ID_CURR) LEFT JOIN c USING (SK_ID_CURR) LEFT JOIN s USING (SK_ID_CURR)"""
 
 ORACLES["domain_features"] = f"""WITH {LOAN} SELECT SK_ID_CURR,
@@ -75,7 +75,7 @@ ORACLES["domain_features"] = f"""WITH {LOAN} SELECT SK_ID_CURR,
   round((coalesce(EXT_SOURCE_1, 0.5::DOUBLE) + coalesce(EXT_SOURCE_2, 0.5::DOUBLE) + coalesce(EXT_SOURCE_3, 0.5::DOUBLE)) / 3, 6) AS FEAT_EXT_SOURCE_MEAN
 FROM loan"""
 
-ORACLES["split_semi_join"] = f"WITH {LOAN} SELECT SK_ID_CURR, TARGET, AMT_CREDIT FROM loan WHERE SK_ID_CURR IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)"
+ORACLES["split_semi_join"] = f"WITH {LOAN} SELECT SK_ID_CURR, TARGET, AMT_CREDIT FROM loan WHERE SK_ID_CURR IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
 
 LOAN_COLUMNS = "SK_ID_CURR TARGET AMT_CREDIT AMT_INCOME_TOTAL AMT_ANNUITY AMT_GOODS_PRICE NAME_CONTRACT_TYPE NAME_INCOME_TYPE DAYS_BIRTH DAYS_EMPLOYED EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3".split()
 _NULLS = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS n_null, round((count(*) - count({c})) / count(*)::DOUBLE, 6) AS null_rate, (count(*) - count({c})) / count(*)::DOUBLE < 0.5 AS kept FROM loan" for c in LOAN_COLUMNS)
@@ -110,7 +110,7 @@ SELECT n AS total_customers, round(ead, 2) AS total_ead, round(el, 2) AS total_e
 _STRESS = f"""{BOOK}, sc AS (SELECT * FROM (VALUES (0, 'baseline', 1::DOUBLE, 1::DOUBLE), (1, 'mild_recession', 1.5::DOUBLE, 1.1::DOUBLE), (2, 'severe', 2.5::DOUBLE, 1.3::DOUBLE), (3, 'black_swan', 4::DOUBLE, 1.5::DOUBLE)) t(scenario_order, scenario, pd_multiplier, lgd_multiplier)),
 st AS (SELECT *, least(1::DOUBLE, pd_score * pd_multiplier) AS stressed_pd, least(1::DOUBLE, lgd * lgd_multiplier) AS stressed_lgd FROM book, sc),
 se AS (SELECT *, stressed_pd * stressed_lgd * ead AS stressed_el FROM st)"""
-ORACLES["stress_customer"] = f"WITH {_STRESS} SELECT SK_ID_CURR, scenario, round(stressed_pd, 9) AS stressed_pd, round(stressed_lgd, 9) AS stressed_lgd, round(stressed_el + 1.7e-8, 6) AS stressed_el FROM se"
+ORACLES["stress_customer"] = f"WITH {_STRESS} SELECT SK_ID_CURR, scenario, round(stressed_pd, 9) AS stressed_pd, round(stressed_lgd, 9) AS stressed_lgd, CAST(round(CAST(stressed_el AS DECIMAL(38,9)), 6) AS DOUBLE) AS stressed_el FROM se"
 ORACLES["stress_test"] = f"""WITH {_STRESS} SELECT scenario_order, scenario, pd_multiplier, lgd_multiplier, count(*) AS n, round(sum(ead), 2) AS total_ead, round(sum(stressed_el), 2) AS total_el,
   round(avg(stressed_pd), 6) AS avg_pd, round(avg(stressed_lgd), 6) AS avg_lgd, count(*) FILTER (stressed_pd >= 0.20::DOUBLE) AS customers_high_risk, count(*) FILTER (stressed_pd >= 0.50::DOUBLE) AS customers_default_zone,
   round(sum(stressed_el) / sum(ead) * 100, 6) AS el_rate_pct, round(3 * sum(stressed_el), 2) AS capital_required FROM se GROUP BY ALL"""
@@ -190,12 +190,12 @@ m AS (SELECT n0, n1, sum(c1 * (f0 + f1 - c0 - c1 + (c0 + c1 + 1) / 2::DOUBLE)) A
 SELECT CAST(n0 + n1 AS BIGINT) AS n, round((r1 - n1 * (n1 + 1) / 2) / (n1 * n0), 4) AS roc_auc, round(ks, 4) AS ks_statistic, round((tp + n0 - fp) / (n0 + n1), 4) AS accuracy,
   round(tp / nullif((tp + fp)::DOUBLE, 0), 4) AS precision, round(tp / n1, 4) AS recall, round(2 * tp / (tp + fp + n1), 4) AS f1 FROM m"""
 
-_WIDTHS = {"region": 0, "nation": 0, "customer": 0, "supplier": 0, "part": 0, "orders": 0, "lineitem": 0, "events": 0}
-ORACLES["table_overview"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS n_columns" for t in _WIDTHS)
+ORACLES["table_overview"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS n_columns" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 ORACLES["target_distribution"] = f"WITH {LOAN}, c AS (SELECT TARGET, count(*) AS n FROM loan GROUP BY 1) SELECT TARGET, n, round(n * 100::DOUBLE / sum(n) OVER (), 4) AS pct, round(max(n) OVER () / n::DOUBLE, 4) AS imbalance FROM c"
 ORACLES["class_histogram"] = f"""WITH {LOAN}, h AS (SELECT TARGET, EXT_SOURCE_2, -DAYS_BIRTH AS AGE_DAYS, AMT_CREDIT FROM loan), x AS ({_long('h', ['EXT_SOURCE_2', 'AGE_DAYS', 'AMT_CREDIT'], 'DOUBLE', 'TARGET')}),
-e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM x GROUP BY 1)
-SELECT feature, TARGET AS class, CAST(CASE WHEN hi > lo THEN least(30, floor((value - lo) / ((hi - lo) / 30)) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n FROM x JOIN e USING (feature) GROUP BY 1, 2, 3"""
+e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM x GROUP BY 1),
+b AS (SELECT feature, TARGET AS class, (hi - lo) / 30 AS width, CAST(CASE WHEN hi > lo THEN least(30, floor((value - lo) / ((hi - lo) / 30)) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n FROM x JOIN e USING (feature) GROUP BY 1, 2, 3, 4)
+SELECT feature, class, bin, n, round(CASE WHEN width > 0 THEN n / (sum(n) OVER (PARTITION BY feature, class) * width) END * 1e6, 3) AS density FROM b"""
 ORACLES["target_correlation"] = f"WITH {LOAN} SELECT feature, abs_corr FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(corr({c}, TARGET)), 6) AS abs_corr FROM loan" for c in NUMERIC) + ") WHERE abs_corr IS NOT NULL ORDER BY abs_corr DESC, feature LIMIT 10"
 ORACLES["correlation_matrix"] = f"WITH {LOAN} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM loan" for i, a in enumerate(NUMERIC) for b in NUMERIC[i:])
 ORACLES["default_rate_by_category"] = f"WITH {LOAN}, x AS ({_long('loan', CATEGORICAL, 'VARCHAR', 'TARGET')}) SELECT feature, value AS category, round(avg(TARGET), 6) AS default_rate, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) > 100"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 NUMERIC = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "DAYS_BIRTH", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
 CATEGORICAL = ["NAME_CONTRACT_TYPE", "NAME_INCOME_TYPE"]
 DRIFT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "price_shifted"]
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def query(f: Query) -> Query:
@@ -29,10 +30,14 @@ def query(f: Query) -> Query:
     return f
 
 
-def rounded(df: DataFrame, digits: int, *names: str, nudge: float = 0.0) -> DataFrame:
-    """Sums and means differ in their last bits between engines; so values are
-    rounded at the end. ``nudge`` moves values off the middle of two results."""
-    return df.withColumns({c: F.round(F.col(c) + nudge if nudge else F.col(c), digits) for c in names})
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """Sums and means differ in their last bits between engines; so values are rounded at the end."""
+    return df.withColumns({c: F.round(c, digits) for c in names})
+
+
+def as_decimals(df: DataFrame, *names: str) -> DataFrame:
+    """Rounded to six digits as decimals, which have a middle between two results that all engines see alike."""
+    return df.withColumns({c: F.round(F.col(c).cast("decimal(38,9)"), 6).cast("double") for c in names})
 
 
 def _doubles(df: DataFrame) -> list[str]:
@@ -46,7 +51,7 @@ def _book(spark: SparkSession, d: str) -> DataFrame:
 def _aggregate(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = aggregates.CHILDREN[name](loanbook.CHILDREN[name](spark, d))
-        return rounded(out, 8, *_doubles(out), nudge=1.7e-10)
+        return as_decimals(out, *_doubles(out))
 
     return run
 
@@ -63,9 +68,8 @@ def numeric_aggs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tier_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Loans with their bureau aggregate, scored, by tier."""
-    master = aggregates.build_master(loanbook.loans(spark, d), {"bureau": aggregates.bureau(loanbook.bureau(spark, d))})
-    return portfolio.tier_profile(scoring.score_book(features.add_domain_features(master)))
+    """Scored loans by tier."""
+    return portfolio.tier_profile(_book(spark, d))
 
 
 @query
@@ -76,7 +80,7 @@ def master_dataset(spark: SparkSession, d: str) -> DataFrame:
     names = ["SK_ID_CURR", "TARGET", "BUREAU_COUNT", "BUREAU_AMT_DEBT_SUM", "PREV_APPROVED_COUNT", "PREV_CNT_PAYMENT_MEAN", "INSTAL_DPD_MAX", "INSTAL_LATE_COUNT", "CC_UTILIZATION_MEAN", "POS_LATE_MONTHS", "FEAT_DEBT_INCOME_RATIO"]
     # Missing children leave nulls; so counts are given as doubles.
     out = out.select("SK_ID_CURR", "TARGET", *[F.col(c).cast("double").alias(c) for c in names[2:]])
-    return rounded(out, 8, *_doubles(out), nudge=1.7e-10)
+    return as_decimals(out, *_doubles(out))
 
 
 @query
@@ -88,7 +92,8 @@ def domain_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def split_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    ids = loanbook.table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("SK_ID_CURR"))
+    """The loans of a split that is given by its ids: those of urgent orders."""
+    ids = loanbook.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("SK_ID_CURR"))
     return aggregates.restrict_to(loanbook.loans(spark, d).select("SK_ID_CURR", "TARGET", "AMT_CREDIT"), ids)
 
 
@@ -182,7 +187,7 @@ def tier_breakdown(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stress_customer(spark: SparkSession, d: str) -> DataFrame:
     out = portfolio.stressed(_book(spark, d)).select("SK_ID_CURR", "scenario", "stressed_pd", "stressed_lgd", "stressed_el")
-    return rounded(rounded(out, 9, "stressed_pd", "stressed_lgd"), 6, "stressed_el", nudge=1.7e-8)
+    return as_decimals(rounded(out, 9, "stressed_pd", "stressed_lgd"), "stressed_el")
 
 
 @query
@@ -280,7 +285,9 @@ def target_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query
 def class_histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = loanbook.loans(spark, d).selectExpr("TARGET", "EXT_SOURCE_2", "-DAYS_BIRTH AS AGE_DAYS", "AMT_CREDIT")
-    return eda.class_histogram(rows, "TARGET", ["EXT_SOURCE_2", "AGE_DAYS", "AMT_CREDIT"]).drop("density")
+    out = eda.class_histogram(rows, "TARGET", ["EXT_SOURCE_2", "AGE_DAYS", "AMT_CREDIT"])
+    # The area under a class's bars is 1; densities of amounts are tiny.
+    return out.withColumn("density", F.round(F.col("density") * 1e6, 3))
 
 
 @query
@@ -315,6 +322,16 @@ def kafka_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return decision_tally(encode(scored))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder only where one machine is all there is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+    return folder.rstrip("/")
+
+
 def _small_gbt() -> dict:
     return {"maxIter": 5, "maxDepth": 3, "subsamplingRate": 0.8}
 
@@ -346,22 +363,24 @@ def train_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Three models, stored and loaded again, by their area under the ROC curve."""
     loans = features.hash_split(loanbook.loans(spark, d), "SK_ID_CURR")
     part = loans.where("split = 0")
+    folder = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
     models = {
         "logistic": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "logistic", maxIter=10),
         "random_forest": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "random_forest", numTrees=5, maxDepth=4),
         "gbt": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "gbt", **_small_gbt()),
     }
-    return ml.compare_models(models, loans.where("split = 2"), "TARGET")
+    stored = {name: ml.save_model(model, folder, name) for name, model in models.items()}
+    return ml.compare_models(stored, loans.where("split = 2"), "TARGET")
 
 
 @query
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     children = {n: aggregates.CHILDREN[n](f(spark, d)) for n, f in loanbook.CHILDREN.items()}
     # Each aggregate is read in several runs, so it is written once.
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ablation-")
-    children = sources.materialised(children, folder)
+    children = sources.materialised(children, _shared_folder(spark))
     loans = features.hash_split(loanbook.loans(spark, d), "SK_ID_CURR")
     ids = loans.select("SK_ID_CURR", "split")
     return ml.ablation(loans.drop("split"), children, ids.where("split = 0").drop("split"), ids.where("split = 2").drop("split"), "TARGET", NUMERIC, "logistic", maxIter=5)

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scoring import score_applications
 
+#: Columns of the console.
 CONSOLE = ("SK_ID_CURR", "AMT_CREDIT", "AMT_INCOME_TOTAL", "pd_score", "risk_tier", "decision", "expected_loss", "scored_at")
 
 
@@ -66,12 +67,17 @@ def to_memory(df: DataFrame, name: str, mode: str = "update", seconds: int | Non
 
 
 def to_many(scored: DataFrame, path: str, tally_path: str, checkpoint: str, seconds: int | None = 10) -> StreamingQuery:
-    """One read of the source for two sinks: the rows, and each batch's count by decision."""
+    """One read of the source for two sinks: the rows, and each batch's count by decision.
+
+    Each micro-batch has a folder of its own under both paths, which are read
+    as tables with a column ``batch``; one that is replayed after a failure
+    replaces what it had written, so rows are there once.
+    """
 
     def both(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        batch.write.mode("append").parquet(path)
-        batch.groupBy("decision").count().withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(tally_path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.groupBy("decision").count().write.mode("overwrite").parquet(f"{tally_path}/batch={batch_id}")
         batch.unpersist()
 
     return _start(scored, "append", seconds).option("checkpointLocation", checkpoint).foreachBatch(both).start()

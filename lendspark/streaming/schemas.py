@@ -3,28 +3,27 @@
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 #: The message's fields.
-_INT, _DOUBLE, _STRING = IntegerType(), DoubleType(), StringType()
 APPLICATION = StructType(
     [
-        StructField("SK_ID_CURR", _INT),
-        StructField("TARGET", _INT),
-        StructField("AMT_CREDIT", _DOUBLE),
-        StructField("AMT_INCOME_TOTAL", _DOUBLE),
-        StructField("AMT_ANNUITY", _DOUBLE),
-        StructField("AMT_GOODS_PRICE", _DOUBLE),
-        StructField("DAYS_BIRTH", _INT),
-        StructField("DAYS_EMPLOYED", _INT),
-        StructField("EXT_SOURCE_1", _DOUBLE),
-        StructField("EXT_SOURCE_2", _DOUBLE),
-        StructField("EXT_SOURCE_3", _DOUBLE),
-        StructField("NAME_CONTRACT_TYPE", _STRING),
-        StructField("CODE_GENDER", _STRING),
-        StructField("FLAG_OWN_CAR", _STRING),
-        StructField("FLAG_OWN_REALTY", _STRING),
-        StructField("NAME_INCOME_TYPE", _STRING),
-        StructField("NAME_EDUCATION_TYPE", _STRING),
-        StructField("OCCUPATION_TYPE", _STRING),
-        StructField("CNT_FAM_MEMBERS", _INT),
-        StructField("timestamp", _STRING),
+        StructField("SK_ID_CURR", IntegerType(), True),
+        StructField("TARGET", IntegerType(), True),
+        StructField("AMT_CREDIT", DoubleType(), True),
+        StructField("AMT_INCOME_TOTAL", DoubleType(), True),
+        StructField("AMT_ANNUITY", DoubleType(), True),
+        StructField("AMT_GOODS_PRICE", DoubleType(), True),
+        StructField("NAME_CONTRACT_TYPE", StringType(), True),
+        StructField("CODE_GENDER", StringType(), True),
+        StructField("DAYS_BIRTH", IntegerType(), True),
+        StructField("DAYS_EMPLOYED", IntegerType(), True),
+        StructField("EXT_SOURCE_1", DoubleType(), True),
+        StructField("EXT_SOURCE_2", DoubleType(), True),
+        StructField("EXT_SOURCE_3", DoubleType(), True),
+        StructField("FLAG_OWN_CAR", StringType(), True),
+        StructField("FLAG_OWN_REALTY", StringType(), True),
+        StructField("CNT_FAM_MEMBERS", IntegerType(), True),
+        StructField("NAME_INCOME_TYPE", StringType(), True),
+        StructField("NAME_EDUCATION_TYPE", StringType(), True),
+        StructField("OCCUPATION_TYPE", StringType(), True),
+        StructField("timestamp", StringType(), True),
     ]
 )

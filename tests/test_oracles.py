@@ -9,7 +9,7 @@ import __spark_entry__
 from lendspark import registry
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def canonical(rows):

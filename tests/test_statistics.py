@@ -86,6 +86,29 @@ def test_stress_is_monotone_and_whole(spark):
     assert len(nothing) == 4 and all(r["count"] == 0 for r in nothing)
 
 
+def test_ranges_follow_the_values(spark):
+    """One value far away from all others leaves the ranges as they are."""
+    values = [float(k % 50_000) / 7 for k in range(50_000)] + [1e12]
+    counts = frame(spark, values, "value").select(F.lit("x").alias("feature"), "value")
+    parts = statistics._ranges(counts).groupBy("part").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("part").collect()
+    assert len(parts) > 0.9 * statistics.RANGES and max(r["n"] for r in parts) < 4 * len(values) / statistics.RANGES
+    assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:], strict=False))
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], [0.5, -3.0, 8.0, 8.0, 1e12], list(range(101)), [k % 7 for k in range(60)]])
+def test_quantiles_are_exact(spark, values):
+    counted = statistics._value_counts(frame(spark, values, "value").select(F.lit("x").alias("feature"), "value", F.lit(0).alias("g")), "g")
+    got = statistics.quantile_edges(counted.select("feature", "value", F.col("c0").alias("c"), F.col("b0").alias("b")), 10).first()["edges"]
+    assert got == pytest.approx(sorted(set(np.round(np.quantile(np.array(values, dtype=float), np.arange(11) / 10), 9))))
+
+
+def test_scenarios_of_a_configuration(spark):
+    scenarios = portfolio.scenarios_from({"calm": {}, "bad": {"pd_multiplier": "2", "lgd_multiplier": 1.2, "description": "x"}})
+    assert scenarios == [("calm", 1.0, 1.0), ("bad", 2.0, 1.2)]
+    book = scoring.add_expected_loss(spark.createDataFrame([(1, 0.1, 100.0)], "id int, pd_score double, AMT_CREDIT double"))
+    assert {r["scenario"]: round(r["total_el"], 6) for r in portfolio.stress_test(book, scenarios).collect()} == {"calm": 4.5, "bad": 10.8}
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "x double, y int")
     assert statistics.kruskal_ranking(none, ["x"], "y").count() == 0
