@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _with_min(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the smallest of u and its partners."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+from .common import discard, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Links every node's larger partners to its smallest partner or itself."""
-    return _with_min(_both_ways(edges)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    """Links every node's larger partners to its smallest partner or itself. Of its rows (u, v), u is the larger."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Links every node and its smaller partners to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    linked = _with_min(down)
-    own = linked.select("u", F.col("m").alias("v")).distinct()
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).where("u != v").distinct()
+def small_star(down: DataFrame) -> DataFrame:
+    """Links every node and its smaller partners to the smallest of them, for rows (u, v) with the larger node first."""
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    others = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,13 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
     that can be reached. The two steps alternate until the edges stay the same,
     which takes O(log^2 n) rounds; each round is written, so a lost executor
     costs one round at most. No edges: no rows."""
-    edges = written(edges.where("u != v").distinct(), "edges")
-    before = None
+    edges, before, last = edges.where("u != v"), None, None
     while True:
-        edges = written(small_star(large_star(edges)), "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
+        # What tells whether the edges stay the same is summed up as they are written.
+        seen = Observation()
+        marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("a"), F.sum(F.xxhash64("v", "u") % 998_244_353).alias("b")]
+        edges = written(small_star(large_star(edges)).observe(seen, *marks), "stars")
+        now = tuple(seen.get.get(k) for k in "nab")
+        if last is not None:
+            discard(last)
         if now == before:
             break
-        before = now
+        before, last = now, edges
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))

@@ -32,6 +32,9 @@ SMALL = 8
 #: Shingles of more sets than this are hot: sets aren't compared because they share one.
 HOT = 64
 
+#: Longs of the bitmaps that tell sets which can't share enough.
+BITMAP = 8
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNK = 1 << 20
@@ -131,16 +134,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInPandas(run, "node binary, items array<long>")
 
 
-def _confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose full sets are similar enough."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(members.select("node", "doc_id"), "node")
-    sets = written(_sets(docs, nodes, words), "sets")
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose full sets, of ``sets`` (node, items), are similar enough."""
     v = sets.select(F.col("node").alias("v"), F.col("items").alias("iv")).join(few(pairs), "v")
     u = sets.select(F.col("node").alias("u"), F.col("items").alias("iu")).join(few(pairs.select("u").distinct()), "u", "left_semi")
     both = F.size(F.array_intersect("iu", "iv"))
-    links = written(v.join(u, "u").where(100 * both >= percent * (F.size("iu") + F.size("iv") - both)).select("u", "v").distinct(), "links")
-    discard(sets)
-    return links
+    return v.join(u, "u").where(100 * both >= percent * (F.size("iu") + F.size("iv") - both)).select("u", "v").distinct()
 
 
 def _alike(a: Column, b: Column, percent: int, slack: float) -> Column:
@@ -182,47 +181,61 @@ def _enough(shared: Column, sizes: Column, percent: int) -> Column:
     return (100 + percent) * shared >= percent * sizes
 
 
+def _bits(item: str) -> list[Column]:
+    """Aggregates: a bitmap of the elements, each setting one of 64 * BITMAP bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(item, 8), F.lit(64)).cast("int"))
+    return [F.coalesce(F.bit_or(F.when(F.pmod(F.col(item), F.lit(BITMAP)) == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BITMAP)]
+
+
+def _lacks(a: Column, b: Column) -> Column:
+    """At least so many elements of one set aren't in the other: a bit that only one bitmap has stands for one or more."""
+    return functools.reduce(lambda x, y: x + y, [F.bit_count(a[f"b{k}"].bitwiseAND(F.bitwise_not(b[f"b{k}"]))) for k in range(BITMAP)])
+
+
 def exact_pairs(sets: DataFrame, percent: int, hot: int) -> DataFrame:
     """Pairs (u, v) among which are all linked ones of different components that can't be told otherwise.
 
     ``sets`` has node, size, comp and items: size is that of the whole set, of
-    which items may be a part that holds all that may be shared. Linked sets
-    share at least need = percent of either size.
-
-    Only shingles that occur in several components count. The others are cold
-    or, in more than ``hot`` sets, hot. Linked sets that share a cold shingle
-    share one of the first size - need + 1 cold ones of each, in one global
-    order: were it not so, all cold ones that they share would lie behind one
-    set's prefix, and with all its hot ones be less than need. So prefixes are
-    joined, in which no shingle has many sets. Linked sets that share hot
-    shingles only have at least need hot ones each. Those are grouped by their
-    hot part: in a group, if any member is linked with the others by its hot
-    part, it is so with the smallest one, and between two groups, linked
-    members are linked with the smallest one of the other group. So distinct
-    hot parts, with the sizes of their smallest members, are joined by this
-    function itself. Where they are hardly fewer than their sets, more
-    shingles count as cold.
+    which items may be a part that holds all that may be shared. Sets of sizes
+    a and b are linked if they share need = percent / (100 + percent) * (a + b);
+    that is at least percent of either size.
+
+    Only shingles that occur in several components count, and sets that have
+    enough of them. In more than ``hot`` sets they are hot, else cold; all are
+    ranked from rare to frequent. Linked sets that share a cold shingle share
+    one that has need - 1 shingles that count behind it in either set: were it
+    not so, those that they share would be less than need. So the first cold
+    shingles of each set are joined, none of which has many sets, and bitmaps
+    tell more pairs that can't share enough.
+
+    Linked sets that share hot shingles only have enough hot ones each. Those
+    are grouped by their hot part: in a group, if any member is linked with
+    the others by its hot part, it is so with the smallest one, and between two
+    groups, linked members are linked with the smallest one of the other group.
+    So distinct hot parts, with the sizes of their smallest members, are joined
+    by this function itself. Where they are hardly fewer than their sets, that
+    would not end, and all shingles count as cold.
     """
     spark = sets.sparkSession
     none = spark.createDataFrame([], sets.select(F.col("node").alias("u"), F.col("node").alias("v")).schema)
     if sets.limit(2).count() < 2:
         return none
+    need = F.ceil(percent * F.col("size") / 100)
     tokens = sets.select("node", "size", "comp", F.explode("items").alias("item"))
     shared = tokens.groupBy("item").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("item", "n")
-    cold = F.sort_array(F.collect_list(F.when(F.col("n") <= hot, F.struct("n", "item"))))
-    hots = F.sort_array(F.collect_list(F.when(F.col("n") > hot, F.col("item"))))
-    need = F.ceil(percent * F.col("size") / 100)
-    parts = tokens.join(shared, "item").groupBy("node", "size", "comp").agg(cold.alias("cold"), hots.alias("hots")).withColumn("need", need)
-    parts = written(parts.where(F.size("cold") + F.size("hots") >= F.col("need")), "parts")
-    # Prefixes of cold shingles.
-    left = F.size("cold") + F.size("hots")
-    prefix = parts.select("node", "size", "comp", left.alias("left"), F.posexplode(F.slice("cold", F.lit(1), (F.col("size") - F.col("need") + 1).cast("int"))).alias("pos", "c"))
-    row = lambda side: prefix.select(F.col("c.item").alias("item"), F.struct("node", "size", "left").alias(side), F.col("comp").alias(f"c{side}"), F.col("pos").alias(f"p{side}"))
-    met = row("x").join(row("y"), "item").where((F.col("x.node") < F.col("y.node")) & (F.col("cx") != F.col("cy")))
-    met = met.where(100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-    met = met.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("px").alias("px"), F.max("py").alias("py"))
-    behind = F.least(F.col("x.left") - F.col("px"), F.col("y.left") - F.col("py")) - 1
-    out = met.where(_enough(F.col("n") + behind, F.col("x.size") + F.col("y.size"), percent)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    left = tokens.join(shared, "item").groupBy("node", "size", "comp").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("ranked"), *_bits("item"))
+    left = written(left.where(F.size("ranked") >= need), "counting")
+    prefix = F.filter(F.slice("ranked", F.lit(1), (F.size("ranked") - need + 1).cast("int")), lambda r: r["n"] <= hot)
+    prefix = left.select(F.struct("node", "size", F.size("ranked").alias("left"), *[f"b{k}" for k in range(BITMAP)]).alias("x"), "comp", F.posexplode(prefix).alias("pos", "r"))
+    row = lambda side: prefix.select(F.col("r.item").alias("item"), F.col("x").alias(side), F.col("comp").alias(f"c{side}"), F.col("pos").alias(f"p{side}"))
+    sizes = F.col("x.size") + F.col("y.size")
+    behind = lambda me: _enough(F.col(f"{me}.left") - F.col(f"p{me}"), sizes, percent)
+    likely = lambda me, you: _enough(F.col(f"{me}.left") - _lacks(F.col(me), F.col(you)), sizes, percent)
+    different = (F.col("x.node") < F.col("y.node")) & (F.col("cx") != F.col("cy"))
+    met = row("x").join(row("y"), "item").where(different & behind("x") & behind("y") & likely("x", "y") & likely("y", "x"))
+    out = met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    hots = F.array_sort(F.transform(F.filter("ranked", lambda r: r["n"] > hot), lambda r: r["item"]))
+    parts = left.select("node", "size", "comp", need.alias("need"), hots.alias("hots"))
     # Groups of one hot part.
     mostly = parts.where(F.size("hots") >= F.col("need")).select("node", "size", "comp", "hots", F.concat(F.hex(F.xxhash64("hots")), F.lit("."), F.hex(F.xxhash64("hots", F.lit(1)))).alias("group"))
     groups = mostly.groupBy("group").agg(F.min(F.struct("size", "node", "comp")).alias("s"), F.first("hots").alias("hots"), F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
@@ -235,7 +248,7 @@ def exact_pairs(sets: DataFrame, percent: int, hot: int) -> DataFrame:
     out = out.unionByName(mine.select(F.col("s.node").alias("u"), F.col("node").alias("v")))
     # A group of several components may be linked with any other.
     whole = groups.select(F.col("group").alias("node"), F.col("s.size").alias("size"), F.when(F.col("c1") == F.col("c2"), F.col("c1")).otherwise(F.xxhash64("group")).alias("comp"), F.col("hots").alias("items"))
-    between = exact_pairs(whole, percent, hot if 2 * n_groups <= n else 8 * hot)
+    between = exact_pairs(whole, percent, hot if 2 * n_groups <= n else max(hot, n_groups))
     side = lambda g: groups.select(F.col("group").alias(g), F.col("s").alias(f"s{g}"), F.col("hots").alias(f"h{g}"))
     between = between.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "sv", F.size(F.array_intersect("hu", "hv")).alias("o"))
     between = written(between.where(_enough(F.col("o"), F.col("su.size") + F.col("sv.size"), percent)), "group-pairs")
@@ -276,27 +289,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     first = buckets.groupBy("key").agg(F.min("node").alias("first"))
     pairs = buckets.join(first, "key").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     tried = written(_likely(pairs, members, percent, slack), "pairs")
-    links = _confirmed(tried, members, docs, words, percent)
+    ends = lambda pairs: pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    full = lambda nodes: written(_sets(docs, members.select("node", "doc_id").join(nodes, "node"), words), "sets")
+    sets = full(ends(tried))
+    links = written(_similar(tried, sets, percent), "links")
+    discard(sets)
     comps = written(components(links), "components")
     # Linked sets differ in size by a quarter at most: buckets are split by size, each class going with the next.
-    still = _open(buckets, comps).drop("comp", "n").join(members.select(F.col("node").alias("__node"), "size"), F.col("node") == F.col("__node"))
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
+    still = buckets.join(members.select(F.col("node").alias("__node"), "size"), F.col("node") == F.col("__node"))
     still = still.select(F.explode(F.transform(F.array(size_class, size_class + 1), lambda k: F.xxhash64("key", k))).alias("key"), "node")
     still = written(_open(still, comps), "open")
     discard(buckets)
     pairs = written(_likely(_small_pairs(still.where(F.col("n") <= SMALL)), members, percent, slack).join(tried, ["u", "v"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        more = _confirmed(pairs, members, docs, words, percent)
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        comps = written(components(links), "components")
     # Classes of large buckets in which components still differ are joined exactly.
-    large = _open(still.where(F.col("n") > SMALL).select("key", "node"), comps).select(F.col("node").alias("__node"), "comp").distinct()
-    large = written(members.join(large, F.col("node") == F.col("__node")).select("node", "doc_id", "size", F.xxhash64("comp").alias("comp")), "large")
+    large = still.where(F.col("n") > SMALL).select(F.col("node").alias("__node"), "comp").distinct()
+    large = written(members.join(large, F.col("node") == F.col("__node")).select("node", "size", F.xxhash64("comp").alias("comp")), "large")
+    sets = full(ends(pairs).unionByName(large.select("node")).distinct())
     if not large.isEmpty():
-        sets = _sets(docs, large, words).join(large.select("node", "size", "comp"), "node").dropDuplicates(["node"])
-        pairs = written(exact_pairs(written(sets, "large-sets"), percent, HOT).join(tried, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            comps = written(components(links.unionByName(_confirmed(pairs, members, docs, words, percent))), "components")
+        big = written(sets.join(large, "node").dropDuplicates(["node"]), "large-sets")
+        pairs = pairs.unionByName(exact_pairs(big, percent, HOT).join(tried, ["u", "v"], "left_anti")).distinct()
+    more = written(_similar(written(pairs, "pairs"), sets, percent), "links")
+    discard(sets)
+    if not more.isEmpty():
+        comps = written(components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more)), "components")
     linked = comps.join(members.select("node", F.col("doc_id").alias("d")), "node")
     names = linked.groupBy("comp").agg(F.min("d").alias("component"))
     named = linked.join(names, "comp").select("node", F.col("component"))
