@@ -30,6 +30,12 @@ _PLACE = np.uint64((1 << 24) - 1)
 #: anchor has more than HOT_RUNS different runs.
 BLOCK, HOT_BLOCK, HOT_RUNS = 34, 4, 2048
 
+#: One of so many documents is looked at for frequent anchors: those with at
+#: least FREQUENT runs there, the MOST_FREQUENT of them at most, have their runs
+#: dealt over SALTS groups, equal ones over COPY_SALTS. Which anchors these are
+#: changes the work's shares and no result.
+LOOKED_AT, FREQUENT, MOST_FREQUENT, SALTS, COPY_SALTS = 64, 64, 10_000, 256, 32
+
 #: Runs in a shard, about.
 SHARD_RUNS = 20_000
 
@@ -191,13 +197,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     long = rows.where(F.octet_length("text") >= length).select("did", "th", "text")
-    runs = long.mapInPandas(_find_runs(length, gram), "did long, th long, a long, seg long, lo long, hi long, at long")
-    same_a = Window.partitionBy("a")
-    runs = runs.withColumns({"n": F.count("*").over(same_a), "s1": F.min("seg").over(same_a), "s2": F.max("seg").over(same_a)}).where("n > 1")
+    find = lambda texts: texts.mapInPandas(_find_runs(length, gram), "did long, th long, a long, seg long, lo long, hi long, at long")
+    some = long.where(F.pmod(F.xxhash64("did", "th", F.lit("looked-at")), F.lit(LOOKED_AT)) == 0)
+    frequent = find(some).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n")).limit(MOST_FREQUENT)
+    runs = find(long).join(F.broadcast(frequent.select("a", F.lit(True).alias("often"))), "a", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    salt = F.pmod(F.xxhash64("seg", F.pmod(F.xxhash64("did", "th"), F.lit(COPY_SALTS))), F.lit(SALTS))
+    runs = runs.withColumn("salt", F.when(F.col("often"), salt).otherwise(F.lit(0)))
+    # A frequent anchor's groups don't see each other; so all of them count as repeated, of several kinds and hot.
+    same_a = Window.partitionBy("a", "salt")
+    runs = runs.withColumns({"n": F.count("*").over(same_a), "s1": F.min("seg").over(same_a), "s2": F.max("seg").over(same_a)}).where("often or n > 1")
     place = F.struct("did", "th", "lo")
-    ordered = Window.partitionBy("a", "seg").orderBy("did", "th", "lo")
-    runs = runs.withColumn("first", F.first(place).over(ordered) == place).select("did", "th", "a", "lo", "hi", "at", "first", (F.col("s1") != F.col("s2")).alias("many"))
-    runs = runs.withColumn("hot", F.count_if("first").over(same_a) > HOT_RUNS)
+    ordered = Window.partitionBy("a", "salt", "seg").orderBy("did", "th", "lo")
+    runs = runs.withColumn("first", F.first(place).over(ordered) == place)
+    runs = runs.select("did", "th", "a", "salt", "often", "lo", "hi", "at", "first", (F.col("often") | (F.col("s1") != F.col("s2"))).alias("many"))
+    runs = runs.withColumn("hot", F.col("often") | (F.count_if("first").over(same_a) > HOT_RUNS)).drop("salt", "often")
     runs = written(runs, "repeated-runs")
     spans = runs.where(~F.col("first")).select("did", "th", "lo", (F.col("hi") + length).alias("hi"))
     # Bytes of the first run of each kind, where an anchor has several kinds.

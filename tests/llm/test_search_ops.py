@@ -155,6 +155,9 @@ def test_suffix_dedup(spark, monkeypatch):
     assert repeats(spark, rows) == want and sum(r[2] for r in want) > 1000
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 2)  # all anchors with more runs are cut
     assert repeats(spark, rows) == want
+    for name, value in {"LOOKED_AT": 1, "FREQUENT": 1, "SALTS": 3, "COPY_SALTS": 2}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)  # all anchors are frequent and dealt over groups
+    assert repeats(spark, rows) == want
     assert repeats(spark, []) == []
     twice = repeats(spark, [(5, "q" * 50 + passage), (5, "q" * 50 + passage)])
     assert twice[0] == twice[1] and twice[0][2] == 0
