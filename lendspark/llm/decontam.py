@@ -63,6 +63,14 @@ def _windows(words: Column, lengths: list[int], salt: int = 0) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(h, n) for n in lengths]))
 
 
+def _value(slot: Column, theirs: Column) -> Column:
+    """The document's value in a slot; what the document has before the item's
+    first word or behind its last one may have run together with it."""
+    mine, all_ = F.substr(slot["r"], F.lit(2)), F.substr(theirs, F.lit(2))
+    joined = (slot["first"] & F.endswith(all_, F.concat(F.lit(" "), mine))) | (slot["last"] & F.startswith(all_, F.concat(mine, F.lit(" "))))
+    return F.when(joined, slot["r"]).otherwise(theirs)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: float = 0.5, shortest: int = 4) -> DataFrame:
     """Pairs doc_id, item_id, n_windows, coverage, n_slots, exact.
 
@@ -114,10 +122,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: float
     pairs = pairs.groupBy(*key, "cls", "match").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("n_all").alias("n_all"))
     pairs = pairs.withColumn("n_windows", F.size(F.array_distinct(F.flatten("parts.at"))).cast("long")).withColumn("coverage", F.col("n_windows") / F.col("n_all")).where(F.col("coverage") >= least)
     pairs = written(pairs, "pairs").join(items.select("cls", "item_id", "raw"), "cls")
-    slots = F.filter(F.transform("raw", lambda r, i: F.struct(r.alias("r"), i.cast("int").alias("i"))), lambda x: F.substr(x["r"], F.lit(1), F.lit(1)).isin(NAME, NUMBER, UNIT))
+    slots = F.filter(F.transform("raw", lambda r, i: F.struct(r.alias("r"), i.cast("int").alias("i"), (i == 0).alias("first"), (i == F.size("raw") - 1).alias("last"))), lambda x: F.substr(x["r"], F.lit(1), F.lit(1)).isin(NAME, NUMBER, UNIT))
     # Only slots in a matched window are compared, each at its first shift.
     holds = lambda x: lambda part: F.exists(part["at"], lambda p: (p <= x["i"]) & (x["i"] < p + n))
-    placed = let(F.col("parts"), lambda parts: F.transform(slots, lambda x: F.struct(x["r"].alias("r"), (x["i"] + F.get(F.filter(parts, holds(x)), F.lit(0))["shift"]).alias("i"))))
+    placed = let(F.col("parts"), lambda parts: F.transform(slots, lambda x: F.struct(x["r"].alias("r"), (x["i"] + F.get(F.filter(parts, holds(x)), F.lit(0))["shift"]).alias("i"), x["first"].alias("first"), x["last"].alias("last"))))
     pairs = written(pairs.withColumn("slots", F.filter(placed, lambda x: x["i"].isNotNull())).drop("raw", "parts"), "pairs-slots")
     found = ["doc_id", "item_id", "n_windows", "coverage"]
     out = pairs.where(F.size("slots") == 0).select(*found, F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact"))
@@ -127,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: float
         same = lambda d, k: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("h") == F.col(k))
         texts = docs.join(asked, same("d", "k"), "left_semi").dropDuplicates(key).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), raw_tokens(F.col("text")).alias("theirs"))
         both = slotted.join(texts, same("d", "k"))
-        both = both.withColumn("both", let(F.col("theirs"), lambda t: F.transform("slots", lambda s: F.struct(s["r"].alias("a"), F.get(t, s["i"]).alias("b")))))
+        both = both.withColumn("both", let(F.col("theirs"), lambda t: F.transform("slots", lambda s: F.struct(s["r"].alias("a"), _value(s, F.get(t, s["i"])).alias("b")))))
         both = both.withColumn("both", F.filter("both", lambda x: x["b"].isNotNull()))
         values = F.size(F.array_distinct(F.transform("both", lambda x: x["a"])))
         exact = F.forall("both", lambda x: x["a"] == x["b"])

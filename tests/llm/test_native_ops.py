@@ -122,10 +122,10 @@ def test_decontamination_slots_anywhere(spark):
     item = 'Maria Gomez has 1 200 apples. Peter takes some of them away and says "Maria counts what is left" to the child'
     changed = 'Anna has 900 apples. John Smith takes some of them away and says "Anna counts what is left" to the child'
     uneven = changed.replace('"Anna', '"Lisa').replace("Anna has", "Anna Berg has")
-    got = leaks(spark, [(1, f"a start. {changed}\nend"), (2, f"first\n{item}"), (None, f"so. {item}"), (3, "so. " + uneven)], [(5, item)])
+    got = leaks(spark, [(1, f"a start. {changed}\nend"), (2, f"first\n{item}"), (None, f"so. {item}"), (3, "so. " + uneven), (4, f"told by Zoe {item}")], [(5, item)])
     # "maria gomez" and "maria" are two values, so each may stand for its own.
-    assert set(got) == {(1, 5), (2, 5), (None, 5), (3, 5)}
-    assert got[2, 5]["exact"] and got[None, 5]["exact"] and not got[1, 5]["exact"] and got[1, 5]["n_slots"] == 4
+    assert set(got) == {(1, 5), (2, 5), (None, 5), (3, 5), (4, 5)}
+    assert got[2, 5]["exact"] and got[4, 5]["exact"] and got[None, 5]["exact"] and not got[1, 5]["exact"] and got[1, 5]["n_slots"] == 4
     twice = "a Maria and a Peter went to see whether Maria or Peter had won"
     assert leaks(spark, [(1, twice.replace("or Peter", "or Lisa")), (2, twice.replace("Peter", "Lisa"))], [(6, twice)]).keys() == {(2, 6)}
 
