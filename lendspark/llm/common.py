@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(table)
+    return table
+
+
+#: The tables that ``scratch`` knows of; None outside of it.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(keep: list[DataFrame]) -> Iterator[None]:
+    """Deletes, at its end, all tables written within but those appended to ``keep``."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+    discard(*[t for t in made if not any(t is k for k in keep)])
 
 
 def columns(df: DataFrame) -> list[Column]:
