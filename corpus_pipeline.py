@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendspark.llm import decontam, minhash, mixing, sharding, toxicity
-from lendspark.llm.common import columns, discard, few, free_name, table, uniform, written
+from lendspark.llm.common import columns, discard, few, free_name, scratch, table, uniform, written
 
 SHARDS = 8
 
@@ -36,13 +36,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     row, copy = free_name("row", docs), free_name("copy", docs)
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80)
-    linked = found.where("doc_id != component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("comp"))
-    linked = written(linked.unionByName(linked.select(F.col("comp").alias("id"), "comp").distinct()), "linked")
-    ids = rows.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col(row).alias("id")).alias("order"))
-    linked = linked.join(ids, F.col("id") == F.col("r")).select("id", "comp", "order")
-    best = linked.groupBy(F.col("comp").alias("c")).agg(F.min("order")["id"].alias("best"))
-    copies = written(linked.join(best, F.col("comp") == F.col("c")).where("id != best").select(F.col("id").alias(copy)), "copies")
+    keep: list[DataFrame] = []
+    with scratch(keep):
+        found = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80)
+        linked = found.where("doc_id != component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("comp"))
+        linked = written(linked.unionByName(linked.select(F.col("comp").alias("id"), "comp").distinct()), "linked")
+        ids = rows.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col(row).alias("id")).alias("order"))
+        linked = linked.join(ids, F.col("id") == F.col("r")).select("id", "comp", "order")
+        best = linked.groupBy(F.col("comp").alias("c")).agg(F.min("order")["id"].alias("best"))
+        copies = written(linked.join(best, F.col("comp") == F.col("c")).where("id != best").select(F.col("id").alias(copy)), "copies")
+        keep.append(copies)
     return rows.join(few(copies), F.col(row) == F.col(copy), "left_anti").select(*columns(docs))
 
 
@@ -53,8 +56,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     name, leak = free_name("text_digest", docs), free_name("leak", docs)
     texts = docs.select(F.md5("text").alias("doc_id"), "text").where("text is not null")
-    leaks = decontam.contaminated(texts, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    leaks = written(leaks.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    keep: list[DataFrame] = []
+    with scratch(keep):
+        found = decontam.contaminated(texts, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+        leaks = written(found.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+        keep.append(leaks)
     return docs.withColumn(name, F.md5("text")).join(few(leaks), F.col(name) == F.col(leak), "left_anti").select(*columns(docs))
 
 
