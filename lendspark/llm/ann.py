@@ -154,6 +154,13 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.array(v.tolist(), dtype=np.float64)
 
 
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Few rows of one length at a time, as each meets the whole sample: 256 rows, 16 MB of distances."""
+    for dim, rows in batch.groupby("dim"):
+        for a in range(0, len(rows), 256):
+            yield dim, rows.iloc[a : a + 256]
+
+
 def _searched(k: int, relax: float):
     """Of rows sorted by shard, candidates first: a tree of the candidates, which
     then the queries meet a batch at a time."""
@@ -180,7 +187,7 @@ def _placed(sample: dict[int, np.ndarray], pivots: dict[int, int], k: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, rows in batch.groupby("dim"):
+            for dim, rows in _chunks(batch):
                 d = _distances(unit(_matrix(rows["v"])), sample[dim])
                 own = d[:, : pivots[dim]].argmin(axis=1)
                 bound = np.partition(d, k, axis=1)[:, k] if d.shape[1] > k else np.full(len(d), np.inf)
@@ -194,7 +201,7 @@ def _routed(sample: dict[int, np.ndarray], radii: dict[int, tuple[np.ndarray, np
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, rows in batch.groupby("dim"):
+            for dim, rows in _chunks(batch):
                 radius, parts = radii[dim]
                 near = _distances(unit(_matrix(rows["v"])), sample[dim][: len(radius)]) - radius <= relax * rows["bound"].to_numpy()[:, None] + _EPS
                 near[np.arange(len(rows)), rows["shard"].to_numpy()] = True  # its own shard, however small the factor
