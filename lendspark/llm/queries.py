@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, licenses, minhash, mixing, sharding, suffix_dedup, toxicity, warc
+from . import ann, chat, decontam, licenses, minhash, mixing, sharding, suffix_dedup, toxicity, warc, whitening
 from .common import table
 
 SHARDS = 8
@@ -112,3 +112,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_toxicity": op4_toxicity, "op6_suffix_dedup": op6_suffix_dedup}
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along the 4 widest directions, in standard deviations."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+
+
+QUERIES |= {"op13_whitening": op13_whitening}
