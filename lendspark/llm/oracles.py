@@ -93,3 +93,31 @@ FROM d JOIN s ON s.id = coalesce(d.doc_id, 0)
 """
 
 ORACLES["op8_sharding"] = OP8
+
+_CRC_TABLE = "tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _crc(x: str) -> str:
+    """The CRC-32 of a string's UTF-8 bytes, by the table of ``_CRC_TABLE``."""
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"""
+
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT id, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc("id || ':' || run")} AS h FROM r, tab WHERE length(run) >= 6),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+k AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS m FROM p GROUP BY 1),
+f AS (SELECT word, CASE WHEN m >= 5 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN m END AS form_n FROM w LEFT JOIN k USING (word)),
+c AS (SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS moved FROM f UNION ALL SELECT c.word, f.form, true FROM c JOIN f ON f.word = c.root WHERE moved AND f.form IS NOT NULL),
+z AS (SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+"""
+
+ORACLES["op12_variants"] = OP12
