@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, licenses, minhash, mixing, sharding, suffix_dedup, toxicity, variants, warc, whitening
+from . import ann, chat, decontam, interpolation, licenses, minhash, mixing, sharding, suffix_dedup, toxicity, variants, warc, whitening
 from .common import table
 
 SHARDS = 8
@@ -119,9 +119,15 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
 
 
+def op11_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents by a bigram model of those whose crc32(doc_id) mod 7 isn't 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return interpolation.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, the words one edit away, and the forms they are variants of."""
     return variants.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES |= {"op12_variants": op12_variants, "op13_whitening": op13_whitening}
+QUERIES |= {"op11_interpolation": op11_interpolation, "op12_variants": op12_variants, "op13_whitening": op13_whitening}
