@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import scratch, written
 
 #: Bytes of text that a block holds (or one text, if that is longer) and that fall to a shard.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 8 << 20
 #: One training text in so many is deleted from the counts to fit the weights.
 DELETED = 10
 #: Rounds of expectation-maximisation, unless no weight moves by more than this any more.
