@@ -6,15 +6,17 @@ feature and bin or value. Nulls and NaN are left out on entry.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_1_tail, kolmogorov_p
+from ..sources.scratch import scratch, settled
+from .ranks import pick_quantiles, quantile_counts, running_counts
 
-#: Ranges that a feature's values are cut into for running sums.
-RANGES = 1024
+#: Values that a report of drift names: the most frequent ones.
+NAMED = 20
 
 
 def long_form(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
@@ -54,12 +56,13 @@ def woe_numeric(df: DataFrame, features: Sequence[str], target: str, bins: int =
 
     ``target`` is 0 or 1. A feature of fewer than two values has one bin and IV 0.
     """
-    values = _value_counts(long_form(df, features, target), target)
-    edges = quantile_edges(values.select("feature", "value", (F.col("c0") + F.col("c1")).alias("c"), (F.col("b0") + F.col("b1")).alias("b")), bins)
-    rows = values.join(F.broadcast(edges), "feature")  # one row a feature
-    below = F.size(F.filter("edges", lambda e: e < F.round("value", 9)))
-    counts = rows.groupBy("feature", F.greatest(F.lit(1), below).alias("bin"), (F.size("edges") < 2).alias("flat")).agg(F.sum(F.col("c0") + F.col("c1")).alias("n"), F.sum("c1").alias("bad"))
-    out = _woe(counts.where("n > 0"), smoothing)
+    with scratch(df.sparkSession) as area:
+        values, quantiles = quantile_counts(long_form(df, features, target), target, bins, area)
+        rows = values.join(F.broadcast(quantile_edges(df, quantiles)), "feature")  # one row a feature
+        below = F.size(F.filter("edges", lambda e: e < F.round("value", 9)))
+        counts = rows.groupBy("feature", F.greatest(F.lit(1), below).alias("bin"), (F.size("edges") < 2).alias("flat")).agg(F.sum(F.col("c0") + F.col("c1")).alias("n"), F.sum("c1").alias("bad"))
+        counts = settled(counts.where("n > 0"))
+    out = _woe(counts, smoothing)
     return out.withColumns({c: F.when(F.col("flat"), 0.0).otherwise(F.col(c)) for c in ("woe", "iv_part", "iv")}).select("feature", "bin", "n", "good", "bad", "woe", "iv_part", "iv")
 
 
@@ -87,61 +90,10 @@ def iv_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
 # ── rank statistics ──────────────────────────────────────────────────────────
 
 
-def _ranges(counts: DataFrame) -> DataFrame:
-    """``counts`` (feature, value, ...) with part: the values' range, of about equally many values of the feature each.
-
-    Cut points are approximate quantiles of the feature's values, so that an outlier moves none.
-    """
-    at = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    cuts = counts.groupBy("feature").agg(F.array_distinct(F.percentile_approx("value", at, 4 * RANGES)).alias("cuts"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
-        up = (acc["lo"] < acc["hi"]) & (F.get("cuts", mid) <= F.col("value"))
-        return F.struct(F.when(up, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(F.least(acc["hi"], F.greatest(mid, acc["lo"]))).alias("hi"))
-
-    steps = F.sequence(F.lit(1), F.lit(RANGES.bit_length()))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size("cuts").alias("hi")), halve, lambda acc: acc["lo"])
-    return counts.join(F.broadcast(cuts), "feature").withColumn("part", found).drop("cuts")  # one row a feature
-
-
-def _value_counts(rows: DataFrame, group: str) -> DataFrame:
-    """(feature, value, c0, c1, b0, b1): counts of both groups at and before a value.
-
-    A feature may have as many values as rows, so running sums aren't taken in
-    one task: values are cut into ranges first, each range is summed on its
-    own, and a prefix sum over the ranges' totals is added.
-    """
-    g = F.col(group)
-    counts = rows.where(g.isin(0, 1)).groupBy("feature", "value").agg(F.count_if(g == 0).alias("c0"), F.count_if(g == 1).alias("c1"))
-    counts = _ranges(counts)
-    parts = counts.groupBy("feature", "part").agg(F.sum("c0").alias("p0"), F.sum("c1").alias("p1"))
-    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    parts = parts.select("feature", "part", zero(F.sum("p0").over(before)).alias("o0"), zero(F.sum("p1").over(before)).alias("o1"))
-    within = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"w0": zero(F.sum("c0").over(within)), "w1": zero(F.sum("c1").over(within))}).join(F.broadcast(parts), ["feature", "part"])  # RANGES rows a feature
-    return counts.select("feature", "value", "c0", "c1", (F.col("o0") + F.col("w0")).alias("b0"), (F.col("o1") + F.col("w1")).alias("b1"))
-
-
-def quantile_edges(values: DataFrame, bins: int, digits: int = 9) -> DataFrame:
-    """(feature, edges): distinct linear quantiles, rounded so that engines agree.
-
-    ``values`` (feature, value, c, b) has the count of a value and that of the
-    smaller ones: a quantile lies between the values whose ranks embrace it.
-    """
-    values = values.where("c > 0")
-    n = values.groupBy("feature").agg(F.sum("c").alias("n"))
-    rows = values.join(F.broadcast(n), "feature")  # one row a feature
-    place = lambda k: k * (F.col("n") - 1) / bins
-    holds = lambda rank: (rank >= F.col("b")) & (rank < F.col("b") + F.col("c"))
-    hits = F.filter(F.sequence(F.lit(0), F.lit(bins)), lambda k: holds(F.floor(place(k))) | holds(F.ceil(place(k))))
-    rows = rows.select("feature", "n", "value", "b", "c", F.explode(hits).alias("k"))
-    low, high = F.max(F.when(holds(F.floor(place(F.col("k")))), F.col("value"))), F.max(F.when(holds(F.ceil(place(F.col("k")))), F.col("value")))
-    at = rows.groupBy("feature", "n", "k").agg(low.alias("low"), high.alias("high"))
-    rest = place(F.col("k")) - F.floor(place(F.col("k")))
-    at = at.select("feature", F.round(F.col("low") * (1 - rest) + F.col("high") * rest, digits).alias("edge"))
-    return at.groupBy("feature").agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+def quantile_edges(df: DataFrame, quantiles: Mapping[str, Sequence[float]], digits: int = 9) -> DataFrame:
+    """(feature, edges): the distinct quantiles, rounded so that engines agree; ``df`` gives the session."""
+    rows = df.sparkSession.createDataFrame([(f, list(q)) for f, q in quantiles.items()], "feature string, q array<double>")
+    return rows.select("feature", F.array_sort(F.array_distinct(F.transform("q", lambda x: F.round(x, digits)))).alias("edges"))
 
 
 def kruskal_ranking(df: DataFrame, features: Sequence[str], target: str, top_k: int | None = 20, alpha: float = 0.05, least_rows: int = 30) -> DataFrame:
@@ -149,13 +101,11 @@ def kruskal_ranking(df: DataFrame, features: Sequence[str], target: str, top_k:
 
     Features of under ``least_rows`` rows, with an empty class or one value only are left out.
     """
-    rows = long_form(df, features, target).where(F.col(target).isin(0, 1))
-    v = _value_counts(rows, target)
-    t = (F.col("c0") + F.col("c1")).cast("double")
-    r = F.col("b0") + F.col("b1") + (t + 1) / 2
-    s = v.groupBy("feature").agg(
-        F.sum("c0").cast("double").alias("n0"), F.sum("c1").cast("double").alias("n1"), F.sum(F.col("c0") * r).alias("r0"), F.sum(F.col("c1") * r).alias("r1"), F.sum(t * t * t - t).alias("ties")
-    )
+    with scratch(df.sparkSession) as area:
+        v = running_counts(long_form(df, features, target), target, area)
+        t = (F.col("c0") + F.col("c1")).cast("double")
+        r = F.col("b0") + F.col("b1") + (t + 1) / 2
+        s = settled(v.groupBy("feature").agg(F.sum("c0").cast("double").alias("n0"), F.sum("c1").cast("double").alias("n1"), F.sum(F.col("c0") * r).alias("r0"), F.sum(F.col("c1") * r).alias("r1"), F.sum(t * t * t - t).alias("ties")))
     s = s.where((F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= least_rows)).withColumn("n", F.col("n0") + F.col("n1"))
     s = s.withColumn("corr", 1 - F.col("ties") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))).where("corr > 0")
     h = (12 / (F.col("n") * (F.col("n") + 1)) * (F.col("r0") * F.col("r0") / F.col("n0") + F.col("r1") * F.col("r1") / F.col("n1")) - 3 * (F.col("n") + 1)) / F.col("corr")
@@ -165,36 +115,57 @@ def kruskal_ranking(df: DataFrame, features: Sequence[str], target: str, top_k:
     return out.where(F.col("rank") <= top_k) if top_k else out
 
 
-def ks_two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """feature, n_ref, n_cur, ks, ks_p; a side of one row or none gives 0 and 1."""
-    rows = long_form(ref, features).withColumn("g", F.lit(0)).unionByName(long_form(cur, features).withColumn("g", F.lit(1)))
-    v = _value_counts(rows, "g")
-    n = v.groupBy("feature").agg(F.sum("c0").alias("n_ref"), F.sum("c1").alias("n_cur"))
-    v = v.join(F.broadcast(n), "feature")
-    gap = F.abs(F.try_divide(F.col("b0") + F.col("c0"), F.col("n_ref")) - F.try_divide(F.col("b1") + F.col("c1"), F.col("n_cur")))
-    d = v.groupBy("feature", "n_ref", "n_cur").agg(F.max(gap).alias("d"))
+def both_samples(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value, g) of two samples: g is 0 for ``ref`` and 1 for ``cur``."""
+    return long_form(ref, features).withColumn("g", F.lit(0)).unionByName(long_form(cur, features).withColumn("g", F.lit(1)))
+
+
+def _ks(v: DataFrame) -> DataFrame:
+    """(feature, n_ref, n_cur, ks, ks_p) of running counts."""
+    gap = F.abs(F.try_divide(F.col("b0") + F.col("c0"), F.col("n0")) - F.try_divide(F.col("b1") + F.col("c1"), F.col("n1")))
+    d = v.groupBy("feature", F.col("n0").alias("n_ref"), F.col("n1").alias("n_cur")).agg(F.max(gap).alias("d"))
     few = (F.col("n_ref") <= 1) | (F.col("n_cur") <= 1)
     d = d.withColumn("ks", F.when(few, 0.0).otherwise(F.col("d")))
     return d.select("feature", "n_ref", "n_cur", "ks", F.when(few, 1.0).otherwise(kolmogorov_p(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_cur").cast("double"))).alias("ks_p"))
 
 
-def classification_metrics(scored: DataFrame, target: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """One row: n, roc_auc and ks from rank sums, accuracy, precision, recall, f1 at a threshold."""
-    rows = scored.where(F.col(target).isin(0, 1)).select(F.lit("score").alias("feature"), F.col(score).cast("double").alias("value"), F.col(target).alias("g"))
-    v = _value_counts(rows.where(F.col("value").isNotNull()), "g")
-    n = v.agg(F.sum("c0").cast("double").alias("n0"), F.sum("c1").cast("double").alias("n1"))
-    v = v.crossJoin(F.broadcast(n))  # one row of totals
+def ks_two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, n_ref, n_cur, ks, ks_p; a side of one row or none gives 0 and 1."""
+    with scratch(ref.sparkSession) as area:
+        return settled(_ks(running_counts(both_samples(ref, cur, features), "g", area)))
+
+
+def score_statistics(v: DataFrame) -> DataFrame:
+    """(feature, n0, n1, roc_auc, pr_auc, ks) of running counts of scores by class.
+
+    roc_auc comes from rank sums; pr_auc is the area under the line through
+    (recall, precision) at each score from the highest down, which starts at
+    recall 0 with the first precision. All of it is sums over values.
+    """
+    v = v.withColumns({c: F.col(c).cast("double") for c in ("n0", "n1")})
     r = F.col("b0") + F.col("b1") + (F.col("c0") + F.col("c1") + 1) / 2
     gap = F.abs(F.try_divide(F.col("b0") + F.col("c0"), F.col("n0")) - F.try_divide(F.col("b1") + F.col("c1"), F.col("n1")))
-    hit = F.col("value") >= threshold
-    m = v.groupBy("n0", "n1").agg(
-        F.sum(F.col("c1") * r).alias("r1"), F.max(gap).alias("ks"), F.sum(F.when(hit, F.col("c1")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("c0")).otherwise(0)).alias("fp")
-    )
+    tp, fp = F.col("n1") - F.col("b1"), F.col("n0") - F.col("b0")
+    before = tp - F.col("c1") + fp - F.col("c0")
+    here, last = tp / (tp + fp), F.when(before > 0, (tp - F.col("c1")) / before)
+    area = F.try_divide(F.col("c1") * (here + F.coalesce(last, here)) / 2, F.col("n1"))
+    m = v.groupBy("feature", "n0", "n1").agg(F.sum(F.col("c1") * r).alias("r1"), F.max(gap).alias("ks"), F.sum(area).alias("pr_auc"))
     auc = F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0"))
+    return m.select("feature", "n0", "n1", auc.alias("roc_auc"), "pr_auc", "ks")
+
+
+def classification_metrics(scored: DataFrame, target: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """One row: n, roc_auc and ks from rank sums, accuracy, precision, recall, f1 at a threshold."""
+    rows = scored.where(F.col(target).isin(0, 1)).select(F.lit("score").alias("feature"), F.col(score).cast("double").alias("value"), F.col(target).alias("g"))
+    with scratch(scored.sparkSession) as area:
+        v = running_counts(rows.where(F.col("value").isNotNull()), "g", area)
+        hit = F.col("value") >= threshold
+        cut = v.groupBy("feature").agg(F.sum(F.when(hit, F.col("c1")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("c0")).otherwise(0)).alias("fp"))
+        m = settled(score_statistics(v).join(F.broadcast(cut), "feature"))  # one row each
     precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", "n1")
     return m.select(
         (F.col("n0") + F.col("n1")).cast("long").alias("n"),
-        F.round(auc, 4).alias("roc_auc"),
+        F.round("roc_auc", 4).alias("roc_auc"),
         F.round("ks", 4).alias("ks_statistic"),
         F.round((F.col("tp") + F.col("n0") - F.col("fp")) / (F.col("n0") + F.col("n1")), 4).alias("accuracy"),
         F.round(precision, 4).alias("precision"),
@@ -217,10 +188,14 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
     n_bins 0 marks a feature of fewer than three edges or with an empty side,
     whose psi of 0 says nothing.
     """
-    rows = long_form(ref, features).withColumn("g", F.lit(0)).unionByName(long_form(cur, features).withColumn("g", F.lit(1)))
-    values = _value_counts(rows, "g")
-    edges = quantile_edges(values.select("feature", "value", F.col("c0").alias("c"), F.col("b0").alias("b")), bins)
-    values = values.join(F.broadcast(edges), "feature")  # one row a feature
+    with scratch(ref.sparkSession) as area:
+        values, quantiles = quantile_counts(both_samples(ref, cur, features), "g", bins, area, first_only=True)
+        return settled(_psi(values, quantile_edges(ref, quantiles), epsilon))
+
+
+def _psi(values: DataFrame, edges: DataFrame, epsilon: float) -> DataFrame:
+    """``psi`` of (feature, value, c0, c1) and the features' edges."""
+    values = values.select("feature", "value", "c0", "c1").join(F.broadcast(edges), "feature")  # one row a feature
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     bin_ = F.size(F.filter(inner, lambda e: e <= F.round("value", 9)))
     counts = values.groupBy("feature", bin_.alias("bin"), F.size("edges").alias("n_edges")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
@@ -233,11 +208,22 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
     return out.select("feature", F.when(F.col("sound"), F.col("n_edges") - 1).otherwise(0).cast("long").alias("n_bins"), F.round(value, 4).alias("psi"), psi_severity(value).alias("severity"))
 
 
-def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Per feature: psi, severity, ks, ks_p, means, population deviations, sizes."""
-    side = lambda df, s: long_form(df, features).groupBy("feature").agg(F.avg("value").alias(f"mean_{s}"), F.stddev_pop("value").alias(f"std_{s}"))
-    out = psi(ref, cur, features).join(ks_two_sample(ref, cur, features), "feature").join(side(ref, "ref"), "feature", "left").join(side(cur, "cur"), "feature", "left")
-    return out.withColumns({"ks": F.round("ks", 4), "ks_p": F.round("ks_p", 6)})
+def _moments(v: DataFrame, side: str, c: str) -> DataFrame:
+    """(feature, mean_side, std_side): mean and population deviation of counted values."""
+    mean = v.groupBy("feature").agg((F.sum(F.col("value") * F.col(c)) / F.nullif(F.sum(c), F.lit(0))).alias(f"mean_{side}"))
+    off = F.col("value") - F.col(f"mean_{side}")
+    return v.join(F.broadcast(mean), "feature").groupBy("feature", f"mean_{side}").agg(F.sqrt(F.sum(off * off * F.col(c)) / F.nullif(F.sum(c), F.lit(0))).alias(f"std_{side}"))
+
+
+def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
+    """Per feature: psi, severity, ks, ks_p, means, population deviations, sizes. Values are counted once for all of it."""
+    with scratch(ref.sparkSession) as area:
+        v = running_counts(both_samples(ref, cur, features), "g", area)
+        sizes = v.where("n0 > 0").groupBy("feature").agg(F.first("n0").alias("n"))
+        found = pick_quantiles(v.select("feature", "value", F.col("c0").alias("c"), F.col("b0").alias("b")), sizes, bins)
+        edges = quantile_edges(ref, {f: [q[k] for k in range(bins + 1)] for f, q in found.items()})
+        out = _psi(v, edges, epsilon).join(_ks(v), "feature").join(_moments(v, "ref", "c0"), "feature").join(_moments(v, "cur", "c1"), "feature")
+        return settled(out.withColumns({"ks": F.round("ks", 4), "ks_p": F.round("ks_p", 6)}))
 
 
 def drift_summary(report: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lendspark.functions import scoring, stats
 from lendspark.functions.features import add_domain_features
-from lendspark.operators import portfolio, statistics
+from lendspark.operators import portfolio, ranks, statistics
+from lendspark.sources.scratch import scratch
 
 
 def frame(spark, values, name="x"):
@@ -86,22 +87,67 @@ def test_stress_is_monotone_and_whole(spark):
     assert len(nothing) == 4 and all(r["count"] == 0 for r in nothing)
 
 
-def test_ranges_follow_the_values(spark):
-    """One value far away from all others leaves the ranges as they are."""
+def one_feature(spark, values, g=None):
+    rows = [("x", float(v), 0 if g is None else int(g[k])) for k, v in enumerate(values)]
+    return spark.createDataFrame(rows, "feature string, value double, g int")
+
+
+def test_ranges_follow_the_values(spark, request):
+    """One value far away from all others leaves the ranges as they are, and running counts are those of a sort."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
     values = [float(k % 50_000) / 7 for k in range(50_000)] + [1e12]
-    counts = frame(spark, values, "value").select(F.lit("x").alias("feature"), "value")
-    parts = statistics._ranges(counts).groupBy("part").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("part").collect()
-    assert len(parts) > 0.9 * statistics.RANGES and max(r["n"] for r in parts) < 4 * len(values) / statistics.RANGES
+    rng = np.random.default_rng(1)
+    g = rng.integers(0, 2, len(values))
+    written = []
+    with scratch(spark) as area:
+        area.written, write = lambda df: written.append(write(df)) or written[-1], area.written
+        rows = ranks.running_counts(one_feature(spark, values, g), "g", area).orderBy("value").collect()
+        parts = written[0].groupBy("part").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("part").collect()
+    assert len(parts) > 1 and max(r["n"] for r in parts) < 2 * len(values) / len(parts)
     assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:], strict=False))
+    order = np.argsort(values)
+    ones = np.cumsum(g[order])
+    assert [r["b1"] + r["c1"] for r in rows] == ones.tolist() and [r["b0"] + r["c0"] for r in rows] == (np.arange(1, len(values) + 1) - ones).tolist()
+    assert {(r["n0"], r["n1"]) for r in rows} == {(len(values) - int(ones[-1]), int(ones[-1]))}
+
 
+QUANTILES = [[1.0], [2.0, 2.0, 2.0], [0.5, -3.0, 8.0, 8.0, 1e12], list(range(101)), [k % 7 for k in range(60)], [(k * 7919 % 60_000) ** 1.5 for k in range(60_000)], [k % 5 for k in range(50_000)]]
 
-@pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], [0.5, -3.0, 8.0, 8.0, 1e12], list(range(101)), [k % 7 for k in range(60)]])
+
+@pytest.mark.parametrize("values", QUANTILES)
 def test_quantiles_are_exact(spark, values):
-    counted = statistics._value_counts(frame(spark, values, "value").select(F.lit("x").alias("feature"), "value", F.lit(0).alias("g")), "g")
-    got = statistics.quantile_edges(counted.select("feature", "value", F.col("c0").alias("c"), F.col("b0").alias("b")), 10).first()["edges"]
+    with scratch(spark) as area:
+        counts, quantiles = ranks.quantile_counts(one_feature(spark, values), "g", 10, area)
+        assert counts.agg(F.sum("c0")).first()[0] == len(values)
+        assert len(values) < ranks.WHOLE or counts.count() < len(values) / 50  # few values are counted one by one
+        got = statistics.quantile_edges(counts, quantiles).first()["edges"]
     assert got == pytest.approx(sorted(set(np.round(np.quantile(np.array(values, dtype=float), np.arange(11) / 10), 9))))
 
 
+def test_a_bracket_that_misses_is_found_out(spark, monkeypatch):
+    """Were a sketch wrong, its feature would be counted again as a whole."""
+    values = [(k * 7919 % 30_000) / 3 for k in range(30_000)]
+    monkeypatch.setattr(ranks, "SLACK", -0.01)
+    with scratch(spark) as area:
+        _, quantiles = ranks.quantile_counts(one_feature(spark, values), "g", 10, area)
+    assert quantiles["x"] == pytest.approx(np.quantile(np.array(values), np.arange(11) / 10))
+
+
+def test_psi_and_woe_beyond_whole_features(spark):
+    """Bins from brackets are those of all values."""
+    rng = np.random.default_rng(8)
+    a, b = np.round(rng.normal(0, 1, 30_000), 3), np.round(rng.normal(0.3, 1, 20_000), 3)
+    edges = np.unique(np.round(np.quantile(a, np.arange(11) / 10), 9))
+    inner = [-np.inf, *edges[1:-1], np.inf]
+    p, q = np.histogram(a, inner)[0] / len(a) + 1e-6, np.histogram(b, inner)[0] / len(b) + 1e-6
+    assert psi_of(spark, a, b) == pytest.approx(float(np.sum((q - p) * np.log(q / p))), abs=1e-4)
+    y = rng.integers(0, 2, len(a))
+    df = spark.createDataFrame([(float(v), int(t)) for v, t in zip(a, y, strict=True)], "x double, y int")
+    bins = np.maximum(1, np.searchsorted(edges, a, side="left"))
+    assert {(r["bin"], r["n"], r["bad"]) for r in statistics.woe_numeric(df, ["x"], "y").collect()} == {(int(k), int((bins == k).sum()), int(y[bins == k].sum())) for k in set(bins.tolist())}
+
+
 def test_scenarios_of_a_configuration(spark):
     scenarios = portfolio.scenarios_from({"calm": {}, "bad": {"pd_multiplier": "2", "lgd_multiplier": 1.2, "description": "x"}})
     assert scenarios == [("calm", 1.0, 1.0), ("bad", 2.0, 1.2)]
