@@ -45,10 +45,24 @@ def feature_columns(df: DataFrame, target: str, ids: tuple[str, ...], threshold:
 
 
 def categorical_columns(df: DataFrame, most: int = 20) -> DataFrame:
-    """feature, n_distinct of the string columns with 2 to ``most`` values; null counts as one."""
+    """feature, n_distinct of the string columns with 2 to ``most`` values; null counts as one.
+
+    A first reading sketches the number of values of all columns and leaves
+    out those that surely have more than ``most`` (a sketch of few values is
+    off by a few per cent; the margin is a factor of two). A second one
+    gathers the few values of the others: one row, no row times columns.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    counts = df.select(*[(F.count_distinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).cast("long").alias(c) for c in names])
-    return counts.unpivot([], names, "feature", "n_distinct").where((F.col("n_distinct") > 1) & (F.col("n_distinct") <= most))
+    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    empty = df.sparkSession.createDataFrame([], "feature string, n_distinct long")
+    if not names:
+        return empty
+    about = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"n{k}") for k, c in enumerate(names)]).first()
+    few = [c for k, c in enumerate(names) if about[k] <= 2 * most + 10]
+    if not few:
+        return empty
+    counts = df.agg(*[(F.size(F.collect_set(col(c))) + F.coalesce(F.max(col(c).isNull().cast("int")), F.lit(0))).cast("long").alias(c) for c in few])
+    return counts.unpivot([], few, "feature", "n_distinct").where((F.col("n_distinct") > 1) & (F.col("n_distinct") <= most))
 
 
 def add_class_weights(df: DataFrame, target: str, out: str = "class_weight") -> DataFrame:
@@ -59,11 +73,24 @@ def add_class_weights(df: DataFrame, target: str, out: str = "class_weight") ->
     return df.crossJoin(F.broadcast(n)).withColumn(out, weight).drop("__pos", "__neg", "__all")
 
 
+def key_digest(key: str, seed: int = 42) -> Column:
+    """A number from 0 up to 2**32 that the key's text and the seed decide: digits of an MD5 digest, which any SQL engine gives alike.
+
+    A null key counts as an empty text.
+    """
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def hash_split(df: DataFrame, key: str, parts: tuple[int, ...] = (70, 15, 15), seed: int = 42, out: str = "split") -> DataFrame:
-    """Adds the number of a part, by hash of the key: stable under any partitioning."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(sum(parts)))
-    edge, value = 0, F.lit(len(parts) - 1)
+    """Adds the number of a part, by digest of the key: stable under any partitioning, and in other engines."""
+    bucket = F.shiftright(key_digest(key, seed) * sum(parts), 32)
+    value = F.lit(len(parts) - 1)
     for k in range(len(parts) - 2, -1, -1):
-        edge = sum(parts[: k + 1])
-        value = F.when(bucket < edge, k).otherwise(value)
+        value = F.when(bucket < sum(parts[: k + 1]), k).otherwise(value)
     return df.withColumn(out, value)
+
+
+def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
+    """The rows whose key's digest lies in the first ``fraction`` of all digests: the same rows in every run."""
+    return df.where(key_digest(key, seed) < round(fraction * 2**32))

@@ -1,20 +1,28 @@
-"""MLlib jobs: preprocessing, training, evaluation, ablation, explanation."""
+"""MLlib jobs: preprocessing, training, evaluation, ablation, explanation.
+
+A fitted classifier is stored and loaded before it scores anything: a loaded
+one holds its parameters only, no data, lineage or summary of its training.
+Preprocessing is made of plain values, so it holds nothing else either.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import KEY, build_master, restrict_to
-from .statistics import classification_metrics
+from ..sources.scratch import Scratch, scratch
+from .aggregates import KEY, build_master
+from .ranks import quantile_counts, running_counts
+from .statistics import long_form, long_text, score_statistics
 
 #: Default parameters by classifier.
 DEFAULTS = {
@@ -25,30 +33,79 @@ DEFAULTS = {
 CLASSES = {"logistic": LogisticRegression, "random_forest": RandomForestClassifier, "gbt": GBTClassifier}
 
 
-def preprocessing(numeric: Sequence[str], categorical: Sequence[str], scale: bool = True) -> Pipeline:
-    """Median imputation, indexing and one-hot encoding that keep unseen values, assembly, scaling."""
-    stages, inputs = [], []
-    if numeric:
-        inputs += (filled := [f"{c}__filled" for c in numeric])
-        stages.append(Imputer(strategy="median", inputCols=list(numeric), outputCols=filled))
+# ── preprocessing ────────────────────────────────────────────────────────────
+
+
+def _number(c: str):
+    """A column as double, NaN as null."""
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+
+def preprocessing_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """feature, kind, position, value, n, fill, scale: all that preprocessing learns, in three readings of ``df``.
+
+    numeric: one row, with the exact median as fill and the sample deviation
+    of the filled column as scale. categorical: one row a value, the most
+    frequent first (of equals the smallest), then one of null value for
+    missing and unseen ones; scale is the deviation of its 0/1 column. A
+    column without any value is filled with 0.
+    """
+    rows: list[tuple] = []
+    with scratch(df.sparkSession) as area:
+        medians: dict[str, float] = {}
+        if numeric:
+            _, found = quantile_counts(long_form(df, numeric).withColumn("g", F.lit(0)), "g", 2, area)
+            medians = {c: found[c][1] if c in found else 0.0 for c in numeric}
+        filled = [F.stddev_samp(F.coalesce(_number(c), F.lit(m))).alias(f"s{k}") for k, (c, m) in enumerate(medians.items())]
+        total = df.agg(F.count("*").alias("n"), *filled).first()
+        rows += [(c, "numeric", 0, None, total["n"], m, total[f"s{k}"] or 0.0) for k, (c, m) in enumerate(medians.items())]
+        counts = long_text(df, categorical).groupBy("feature", "value").count().collect() if categorical else []
+    n = total["n"]
+    spread = lambda k: math.sqrt(k / n * (1 - k / n) * n / (n - 1)) if n > 1 else 0.0
+    for c in categorical:
+        mine = sorted(((-r["count"], r["value"]) for r in counts if r["feature"] == c))
+        rest = n + sum(k for k, _ in mine)
+        rows += [(c, "categorical", i, v, k, None, spread(k)) for i, (v, k) in enumerate([*((v, -k) for k, v in mine), (None, rest)])]
+    return df.sparkSession.createDataFrame(rows, "feature string, kind string, position int, value string, n long, fill double, scale double")
+
+
+def preprocessing(df: DataFrame, table: DataFrame, scale: bool = True) -> PipelineModel:
+    """MLlib stages of a ``preprocessing_table``: fill, index, one-hot (both keep unseen values), assemble, scale.
+
+    ``df`` gives the schema only. A slot without deviation becomes 0.
+    """
+    rows = sorted(table.collect(), key=lambda r: r["position"])
+    numeric = list(dict.fromkeys(r["feature"] for r in rows if r["kind"] == "numeric"))
+    categorical = list(dict.fromkeys(r["feature"] for r in rows if r["kind"] == "categorical"))
+    of = {c: [r for r in rows if r["feature"] == c] for c in (*numeric, *categorical)}
+    fill = "".join(f", coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {of[c][0]['fill']!r}D) AS `{c}__filled`" for c in numeric)
+    stages: list = [SQLTransformer(statement=f"SELECT *{fill} FROM __THIS__")]
+    inputs, factors = [f"{c}__filled" for c in numeric], [of[c][0]["scale"] for c in numeric]
     if categorical:
         indexed, hot = [f"{c}__index" for c in categorical], [f"{c}__hot" for c in categorical]
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=indexed, outputCols=hot, handleInvalid="keep"))
+        labels = [[r["value"] for r in of[c] if r["value"] is not None] for c in categorical]
+        stages.append(StringIndexerModel.from_arrays_of_labels(labels, inputCols=categorical, outputCols=indexed, handleInvalid="keep"))
+        encoder = OneHotEncoder(inputCols=indexed, outputCols=hot, handleInvalid="keep")
+        stages.append(encoder.fit(stages[-1].transform(df.select(*categorical).limit(0))))  # sizes come from the labels
         inputs += hot
-    raw = "features_raw" if scale else "features"
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=raw, handleInvalid="keep"))
+        for c in categorical:
+            factors += [r["scale"] for r in of[c]]
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features_raw" if scale else "features", handleInvalid="keep")
+    stages.append(assembler)
     if scale:
-        stages.append(StandardScaler(inputCol=raw, outputCol="features", withStd=True, withMean=False))
-    return Pipeline(stages=stages)
+        stages.append(ElementwiseProduct(scalingVec=Vectors.dense([1 / s if s else 0.0 for s in factors]), inputCol="features_raw", outputCol="features"))
+    return PipelineModel(stages=stages)
 
 
-def fit_and_transform(pipeline: Pipeline, df: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    """The fitted pipeline and its output."""
-    model = pipeline.fit(df)
+def fit_and_transform(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scale: bool = True, on: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
+    """The preprocessing, fitted on ``df`` or on the rows ``on``, and its output for ``df``."""
+    model = preprocessing(df, preprocessing_table(df if on is None else on, numeric, categorical), scale)
     return model, model.transform(df)
 
 
+# ── training ─────────────────────────────────────────────────────────────────
+
+
 def classifier(name: str, target: str, weight: str | None = None, seed: int = 42, **params):
     """A classifier by name with the defaults and ``params``; ValueError for another name."""
     if name not in CLASSES:
@@ -68,18 +125,41 @@ def param_grid(estimator, grid: Mapping[str, Sequence]) -> list:
     return builder.build()
 
 
-def train(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, name: str = "gbt", grid: Mapping[str, Sequence] | None = None, folds: int = 3, **params) -> PipelineModel:
+def detached(model: Model, area: Scratch) -> Model:
+    """A fitted model as it is once stored and loaded."""
+    path = area.new("model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
+def train(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, name: str = "gbt", grid: Mapping[str, Sequence] | None = None, folds: int = 3, weight: str | None = None, **params
+) -> PipelineModel:
     """Preprocessing and classifier; with a grid, cross-validated on the area under the ROC curve.
 
     In cross-validation the preprocessing is fitted in each fold, so that no
-    fold sees another's medians and scales.
+    fold sees another's medians and scales; all candidates of a fold are
+    scored in one reading of it. Of equally good ones the first is taken.
     """
-    made = classifier(name, target, **params)
-    estimator = Pipeline(stages=[*preprocessing(numeric, categorical).getStages(), made])
-    if not grid:
-        return estimator.fit(df)
-    evaluator = BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC")
-    return CrossValidator(estimator=estimator, estimatorParamMaps=param_grid(made, grid), evaluator=evaluator, numFolds=folds, parallelism=2, seed=42).fit(df).bestModel
+    made = classifier(name, target, weight, **params)
+    needed = [c for c in dict.fromkeys([*numeric, *categorical, target, weight]) if c]
+
+    def fit(rows: DataFrame, estimators: Sequence, area: Scratch) -> list[PipelineModel]:
+        before, out = fit_and_transform(rows, numeric, categorical)
+        matrix = area.written(out.select("features", F.col(target).cast("double").alias(target), *([weight] if weight else [])))
+        return [PipelineModel(stages=[*before.stages, detached(e.fit(matrix), area)]) for e in estimators]
+
+    with scratch(df.sparkSession) as area:
+        candidates = [made.copy(p) for p in param_grid(made, grid)] if grid else [made]
+        if len(candidates) > 1:
+            rows = area.written(df.select(*needed, F.floor(F.rand(42) * folds).alias("__fold")))
+            areas = [0.0] * len(candidates)
+            for fold in range(folds):
+                models = fit(rows.where(F.col("__fold") != fold), candidates, area)
+                found = evaluate_models(dict(enumerate(models)), rows.where(F.col("__fold") == fold), target)
+                areas = [a + (found[k]["roc_auc"] or 0.0) for k, a in enumerate(areas)]
+            candidates = [candidates[areas.index(max(areas))]]
+        return fit(df.select(*needed), candidates, area)[0]
 
 
 def save_model(model: PipelineModel, folder: str, version: str) -> str:
@@ -95,51 +175,116 @@ def best_params(model: PipelineModel, names: Sequence[str]) -> dict:
     return {n: last.getOrDefault(n) for n in names if last.hasParam(n) and last.isDefined(n)}
 
 
+# ── evaluation ───────────────────────────────────────────────────────────────
+
+
 def scores(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Predictions with pd_score, the probability of class 1."""
     return model.transform(df).withColumn("pd_score", vector_to_array("probability")[1])
 
 
+def _verdict(predictions: DataFrame):
+    return F.struct(vector_to_array("rawPrediction")[1].alias("raw"), vector_to_array("probability")[1].alias("pd"), (F.col("prediction") == 1).alias("hit"))
+
+
+def _confusion(hit0: int, miss0: int, hit1: int, miss1: int) -> dict[str, float]:
+    """Accuracy and class-weighted precision, recall and F1 of two classes, from how many of each were taken for class 1."""
+    n, shares = hit0 + miss0 + hit1 + miss1, []
+    for right, wrong, lost in ((miss0, miss1, hit0), (hit1, hit0, miss1)):
+        precision, recall = (right / (right + x) if right else 0.0 for x in (wrong, lost))
+        shares.append(((right + lost) / n, precision, recall, 2 * precision * recall / (precision + recall) if right else 0.0))
+    precision, recall, f1 = (sum(s[0] * s[k] for s in shares) for k in (1, 2, 3))
+    return {"accuracy": (miss0 + hit1) / n, "f1": f1, "weighted_precision": precision, "weighted_recall": recall}
+
+
+def _measures(judged: DataFrame, target: str, names: Sequence) -> dict:
+    """Metrics by name of ``judged`` (target, v0, v1, ...), which is written once and read for its counts.
+
+    Areas are those of the raw prediction, exact at every score; ks is that of
+    the probability. What a single class leaves undefined is None.
+    """
+    keys = [f"v{k}" for k in range(len(names))]
+    with scratch(judged.sparkSession) as area:
+        rows = area.written(judged.where(F.col(target).isin(0, 1)).select(F.col(target).cast("int").alias("g"), *keys))
+        long = rows.select("g", F.inline(F.array(*[F.struct(F.lit(f"{v}.{part}").alias("feature"), F.col(f"{v}.{part}").alias("value")) for v in keys for part in ("raw", "pd")])))
+        found = {r["feature"]: r for r in score_statistics(running_counts(long, "g", area)).collect()}
+        cells = [F.count_if((F.col("g") == g) & (F.col(f"{v}.hit") == hit)).alias(f"{v}{g}{hit:d}") for v in keys for g in (0, 1) for hit in (True, False)]
+        counts = rows.agg(*cells).first()
+    out = {}
+    for name, v in zip(names, keys, strict=True):
+        raw, pd = found.get(f"{v}.raw"), found.get(f"{v}.pd")
+        values = {"roc_auc": raw and raw["roc_auc"], "pr_auc": raw and raw["pr_auc"], "ks_statistic": pd and pd["ks"]}
+        cell = [counts[f"{v}{g}{hit}"] for g in (0, 1) for hit in (1, 0)]
+        out[name] = values | (_confusion(*cell) if sum(cell) else dict.fromkeys(("accuracy", "f1", "weighted_precision", "weighted_recall")))
+    return out
+
+
+def evaluate_models(models: Mapping, df: DataFrame, target: str) -> dict:
+    """Metrics by name of several models, all of which score ``df`` in the same reading."""
+    rows, names = df.select("*", F.col(target).alias("__target")), list(models)
+    for k, name in enumerate(names):
+        out = models[name].transform(rows)
+        rows = out.select(*rows.columns, _verdict(out).alias(f"v{k}"))
+    return _measures(rows, "__target", names)
+
+
+#: Columns of a row of metrics.
+METRICS = ("ks_statistic", "roc_auc", "pr_auc", "accuracy", "f1", "weighted_precision", "weighted_recall")
+
+
+def _row(found: Mapping[str, float | None]) -> dict:
+    return {m: None if found[m] is None else round(found[m], 4) for m in METRICS}
+
+
 def evaluate(predictions: DataFrame, target: str, least_auc: float = 0.70) -> DataFrame:
     """One row: areas, accuracy, f1, weighted precision and recall, ks_statistic, promoted (area of at least 0.70)."""
-    binary = BinaryClassificationEvaluator(labelCol=target)
-    multi = MulticlassClassificationEvaluator(labelCol=target, predictionCol="prediction")
-    values = {"roc_auc": binary.setMetricName("areaUnderROC").evaluate(predictions), "pr_auc": binary.setMetricName("areaUnderPR").evaluate(predictions)}
-    for out, metric in (("accuracy", "accuracy"), ("f1", "f1"), ("weighted_precision", "weightedPrecision"), ("weighted_recall", "weightedRecall")):
-        values[out] = multi.setMetricName(metric).evaluate(predictions)
-    row = classification_metrics(predictions, target, "pd_score").select("ks_statistic")
-    return row.withColumns({k: F.lit(round(v, 4)) for k, v in values.items()} | {"promoted": F.lit(values["roc_auc"] >= least_auc)})
+    found = _measures(predictions.select(target, _verdict(predictions).alias("v0")), target, ["one"])["one"]
+    schema = ", ".join(f"{m} double" for m in METRICS) + ", promoted boolean"
+    return predictions.sparkSession.createDataFrame([(*_row(found).values(), (found["roc_auc"] or 0.0) >= least_auc)], schema)
 
 
-def compare_models(models: Mapping[str, PipelineModel | str], test: DataFrame, target: str) -> DataFrame:
+def compare_models(models: Mapping[str, PipelineModel | str], test: DataFrame, target: str, least_auc: float = 0.70) -> DataFrame:
     """One row of metrics for each model, ranked by the area under the ROC curve.
 
-    A model is given itself or by the path of a stored version."""
-    out = None
-    for name, model in models.items():
-        fitted = PipelineModel.load(model) if isinstance(model, str) else model
-        row = evaluate(scores(fitted, test), target).withColumn("model", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("roc_auc"), "model")))  # one row a model
+    A model is given itself or by the path of a stored version. All of them
+    score in one reading of ``test``."""
+    loaded = {name: PipelineModel.load(m) if isinstance(m, str) else m for name, m in models.items()}
+    found = evaluate_models(loaded, test, target)
+    ranked = sorted(found, key=lambda name: (-_row(found[name])["roc_auc"] if found[name]["roc_auc"] is not None else 1.0, name))
+    rows = [(*_row(found[name]).values(), (found[name]["roc_auc"] or 0.0) >= least_auc, name, k + 1) for k, name in enumerate(ranked)]
+    return test.sparkSession.createDataFrame(rows, ", ".join(f"{m} double" for m in METRICS) + ", promoted boolean, model string, rank int")
 
 
 def ablation(application: DataFrame, aggregates: Mapping[str, DataFrame], train_ids: DataFrame, test_ids: DataFrame, target: str, numeric: Sequence[str], name: str = "logistic", **params) -> DataFrame:
     """Metrics without children, with all, and with each one left out; deltas against all.
 
-    ``aggregates`` are materialised by the caller, as each is read in several runs.
+    All tables are joined, filled, scaled (as the training rows say) and
+    assembled once, and written; a configuration is a slice of that matrix by
+    the names of its columns. All models score the test rows in one reading.
     """
-    configs = {"application_only": [], "full": list(aggregates)} | {f"without_{t}": [x for x in aggregates if x != t] for t in aggregates}
-    out = None
-    for config, tables in configs.items():
-        master = build_master(application, {t: aggregates[t] for t in tables})
-        columns = [*numeric, *[c for t in tables for c in aggregates[t].columns if c != KEY]]
-        model = train(restrict_to(master, train_ids), columns, [], target, name, **params)
-        row = evaluate(scores(model, restrict_to(master, test_ids)), target).select(F.lit(config).alias("config"), F.lit(len(columns)).alias("n_features"), "roc_auc", "ks_statistic")
-        out = row if out is None else out.unionByName(row)
-    full = out.where("config = 'full'").select(F.col("roc_auc").alias("__auc"), F.col("ks_statistic").alias("__ks"))
-    out = out.crossJoin(F.broadcast(full))
-    out = out.select("config", "n_features", "roc_auc", "ks_statistic", F.round(F.col("roc_auc") - F.col("__auc"), 4).alias("delta_auc"), F.round(F.col("ks_statistic") - F.col("__ks"), 4).alias("delta_ks"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy("delta_auc", "config")))  # one row a configuration
+    of = {t: [c for c in df.columns if c != KEY] for t, df in aggregates.items()}
+    configs = {"application_only": [], "full": list(of)} | {f"without_{t}": [x for x in of if x != t] for t in of}
+    columns = {config: [*numeric, *[c for t in tables for c in of[t]]] for config, tables in configs.items()}
+    parts = train_ids.select(KEY).distinct().withColumn("__test", F.lit(False)).unionByName(test_ids.select(KEY).distinct().withColumn("__test", F.lit(True)))
+    spark = application.sparkSession
+    with scratch(spark) as area:
+        master = build_master(application, aggregates).join(parts, KEY)
+        master = area.written(master.select(F.col(target).cast("double").alias(target), "__test", *columns["full"]))
+        _, out = fit_and_transform(master, columns["full"], [], on=master.where("not __test"))
+        matrix = area.written(out.select(target, "__test", F.col("features").alias("every", metadata=out.schema["features_raw"].metadata)))
+        models = {}
+        for config, names in columns.items():
+            slicer = VectorSlicer(inputCol="every", outputCol="features", names=[f"{c}__filled" for c in names])
+            fitted = classifier(name, target, **params).fit(slicer.transform(matrix.where("not __test")).select("features", target))
+            models[config] = PipelineModel(stages=[slicer, detached(fitted, area)])
+        found = {config: _row(m) for config, m in evaluate_models(models, matrix.where("__test"), target).items()}
+    less = lambda config, m: None if None in (found[config][m], found["full"][m]) else round(found[config][m] - found["full"][m], 4)
+    rows = [(c, len(columns[c]), found[c]["roc_auc"], found[c]["ks_statistic"], less(c, "roc_auc"), less(c, "ks_statistic")) for c in configs]
+    rows = [(*r, k + 1) for k, r in enumerate(sorted(rows, key=lambda r: (r[4] is not None, r[4] or 0.0, r[0])))]
+    return spark.createDataFrame(rows, "config string, n_features int, roc_auc double, ks_statistic double, delta_auc double, delta_ks double, rank int")
+
+
+# ── explanation ──────────────────────────────────────────────────────────────
 
 
 def feature_importance(model: PipelineModel, predictions: DataFrame) -> DataFrame:

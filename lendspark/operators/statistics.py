@@ -264,9 +264,11 @@ def _category_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str]) ->
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """feature, js, severity, n_ref, n_cur (categories), new_categories.
+    """feature, js, severity, n_ref, n_cur (categories), n_new, new_categories.
 
-    js is the Jensen-Shannon distance: the root of the divergence in natural
+    n_new counts the categories that ``ref`` lacks; new_categories names the
+    NAMED most frequent of them (of equals the smallest), as value=count; all
+    of them are rows of ``new_categories``. js is the Jensen-Shannon distance: the root of the divergence in natural
     logarithms, at most sqrt(ln 2). Features with an empty side are left out.
     """
     counts = _category_counts(ref, cur, features)
@@ -274,13 +276,20 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -
     p, q = F.col("c0") / F.col("n0"), F.col("c1") / F.col("n1")
     part = lambda x: F.when(x > 0, x * F.log(2 * x / (p + q))).otherwise(0.0)
     out = counts.join(F.broadcast(n), "feature").groupBy("feature").agg(
-        F.sum((part(p) + part(q)) / 2).alias("div"),
-        F.count_if(F.col("c0") > 0).alias("n_ref"),
-        F.count_if(F.col("c1") > 0).alias("n_cur"),
-        F.concat_ws(",", F.sort_array(F.collect_list(F.when(F.col("c0") == 0, F.col("value"))))).alias("new_categories"),
+        F.sum((part(p) + part(q)) / 2).alias("div"), F.count_if(F.col("c0") > 0).alias("n_ref"), F.count_if(F.col("c1") > 0).alias("n_cur"), F.count_if(F.col("c0") == 0).alias("n_new")
     )
+    out = out.join(_most_frequent(counts.where("c0 = 0")), "feature", "left")
     js = F.sqrt(F.greatest(F.lit(0.0), F.col("div")))
-    return out.select("feature", F.round(js, 4).alias("js"), js_severity(js).alias("severity"), "n_ref", "n_cur", "new_categories")
+    return out.select("feature", F.round(js, 4).alias("js"), js_severity(js).alias("severity"), "n_ref", "n_cur", "n_new", F.coalesce("named", F.lit("")).alias("new_categories"))
+
+
+def _most_frequent(new: DataFrame, k: int = NAMED, parts: int = 64) -> DataFrame:
+    """(feature, named): the k most frequent values; the best of each of ``parts`` parts are compared, so no task sorts all."""
+    by = lambda *keys: F.row_number().over(Window.partitionBy("feature", *keys).orderBy(F.desc("c1"), "value"))
+    best = new.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(parts))).withColumn("r", by("part")).where(F.col("r") <= k)
+    best = best.withColumn("r", by()).where(F.col("r") <= k)
+    named = F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat("value", F.lit("="), F.col("c1").cast("string")).alias("s")))), lambda x: x["s"])
+    return best.groupBy("feature").agg(F.array_join(named, ",").alias("named"))
 
 
 def new_categories(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:

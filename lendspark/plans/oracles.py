@@ -180,8 +180,8 @@ SELECT CASE WHEN b > 0 THEN 'RETRAIN_IMMEDIATE' WHEN m >= 3 THEN 'RETRAIN_SCHEDU
 _CATS = f"{_PAIR}, x AS ({_long('pair', ['l_returnflag', 'l_linestatus'], 'VARCHAR', 'g')}), c AS (SELECT feature, value, count(*) FILTER (g = 0) AS c0, count(*) FILTER (g = 1) AS c1 FROM x GROUP BY 1, 2)"
 ORACLES["js_drift"] = f"""WITH {_CATS}, p AS (SELECT *, c0 / (sum(c0) OVER w)::DOUBLE AS p, c1 / (sum(c1) OVER w)::DOUBLE AS q FROM c WINDOW w AS (PARTITION BY feature)),
 j AS (SELECT feature, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2))) AS js, count(*) FILTER (c0 > 0) AS n_ref, count(*) FILTER (c1 > 0) AS n_cur,
-  coalesce(array_to_string(list_sort(list(value) FILTER (c0 = 0)), ','), '') AS new_categories FROM p GROUP BY 1)
-SELECT feature, round(js, 4) AS js, CASE WHEN js < 0.05 THEN 'none' WHEN js < 0.15 THEN 'low' WHEN js < 0.30 THEN 'medium' ELSE 'high' END AS severity, n_ref, n_cur, new_categories FROM j"""
+  count(*) FILTER (c0 = 0) AS n_new, coalesce(array_to_string(list(value || '=' || c1 ORDER BY c1 DESC, value) FILTER (c0 = 0)[1:20], ','), '') AS new_categories FROM p GROUP BY 1)
+SELECT feature, round(js, 4) AS js, CASE WHEN js < 0.05 THEN 'none' WHEN js < 0.15 THEN 'low' WHEN js < 0.30 THEN 'medium' ELSE 'high' END AS severity, n_ref, n_cur, n_new, new_categories FROM j"""
 ORACLES["new_categories"] = f"WITH {_CATS} SELECT feature, value FROM c WHERE c0 = 0"
 
 ORACLES["classification_metrics"] = f"""WITH {LOAN}, s AS (SELECT TARGET, round({PD}, 6) AS v FROM loan), c AS (SELECT v, count(*) FILTER (TARGET = 0) AS c0, count(*) FILTER (TARGET = 1) AS c1 FROM s GROUP BY 1),
@@ -195,7 +195,7 @@ ORACLES["target_distribution"] = f"WITH {LOAN}, c AS (SELECT TARGET, count(*) AS
 ORACLES["class_histogram"] = f"""WITH {LOAN}, h AS (SELECT TARGET, EXT_SOURCE_2, -DAYS_BIRTH AS AGE_DAYS, AMT_CREDIT FROM loan), x AS ({_long('h', ['EXT_SOURCE_2', 'AGE_DAYS', 'AMT_CREDIT'], 'DOUBLE', 'TARGET')}),
 e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM x GROUP BY 1),
 b AS (SELECT feature, TARGET AS class, (hi - lo) / 30 AS width, CAST(CASE WHEN hi > lo THEN least(30, floor((value - lo) / ((hi - lo) / 30)) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n FROM x JOIN e USING (feature) GROUP BY 1, 2, 3, 4)
-SELECT feature, class, bin, n, round(CASE WHEN width > 0 THEN n / (sum(n) OVER (PARTITION BY feature, class) * width) END * 1e6, 3) AS density FROM b"""
+SELECT feature, class, bin, n, round(CASE WHEN width > 0 THEN n / (sum(n) OVER (PARTITION BY feature, class) * width) END, 12) AS density FROM b"""
 ORACLES["target_correlation"] = f"WITH {LOAN} SELECT feature, abs_corr FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(corr({c}, TARGET)), 6) AS abs_corr FROM loan" for c in NUMERIC) + ") WHERE abs_corr IS NOT NULL ORDER BY abs_corr DESC, feature LIMIT 10"
 ORACLES["correlation_matrix"] = f"WITH {LOAN} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM loan" for i, a in enumerate(NUMERIC) for b in NUMERIC[i:])
 ORACLES["default_rate_by_category"] = f"WITH {LOAN}, x AS ({_long('loan', CATEGORICAL, 'VARCHAR', 'TARGET')}) SELECT feature, value AS category, round(avg(TARGET), 6) AS default_rate, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) > 100"
@@ -214,3 +214,24 @@ _IMPACTS = " UNION ALL ".join(
 )
 ORACLES["row_explanations"] = f"""WITH {LOAN}, {_MEANS}, i AS ({_IMPACTS}), r AS (SELECT *, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY abs(impact) DESC, feature) AS rank FROM i)
 SELECT SK_ID_CURR, CAST(rank AS INT) AS rank, feature, round(impact, 6) AS impact, CASE WHEN impact > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction FROM r WHERE rank <= 3"""
+
+_DIGEST = "CAST('0x' || substr(md5(SK_ID_CURR || ':42'), 1, 8) AS BIGINT)"
+ORACLES["train_test_split"] = f"""WITH {LOAN}, s AS (SELECT CASE WHEN ({_DIGEST} * 100) >> 32 < 70 THEN 0 WHEN ({_DIGEST} * 100) >> 32 < 85 THEN 1 ELSE 2 END AS split, TARGET FROM loan)
+SELECT split, count(*) AS n, CAST(sum(TARGET) AS BIGINT) AS n_positive FROM s GROUP BY 1"""
+ORACLES["sample_rows"] = f"WITH {LOAN} SELECT SK_ID_CURR, TARGET, AMT_CREDIT FROM loan WHERE {_DIGEST} < {round(0.1 * 2**32)}"
+
+# The upper tail of chi-square with one degree of freedom: a series for small arguments, a continued fraction for large ones.
+_ERFC = """CASE WHEN z <= 0 THEN 1 WHEN z < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 61), lambda k: list_reduce(list_prepend(z, list_transform(range(1, k + 1), lambda j: 2 * z * z / (2 * j + 1))), lambda a, b: a * b)))
+  ELSE exp(-z * z) / (sqrt(pi()) * list_reduce(list_prepend(z, list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda acc, k: z + k / 2 / acc)) END"""
+_H = ORACLES["kruskal_ranking"].replace("round((12 /", "((12 /").replace(", 2) AS h FROM s", ") AS h FROM s")
+ORACLES["kruskal_significance"] = f"""WITH r AS ({_H}), z AS (SELECT feature, n, h AS raw, round(h, 2) AS h, sqrt(h / 2) AS z FROM r), p AS (SELECT feature, n, h, {_ERFC} AS p FROM z)
+SELECT feature, n, h, round(p, 9) AS p_value, CAST(row_number() OVER (ORDER BY h DESC, feature) AS INT) AS rank, p < 0.05 AS significant FROM p"""
+
+_SLOTS = " + ".join(f"coalesce({c}, m_{c}) / s_{c}" for c in NUMERIC)
+_FILL = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in NUMERIC)
+_SPREAD = ", ".join(f"stddev_samp(coalesce({c}, m_{c})) AS s_{c}" for c in NUMERIC)
+_HOT = ", ".join(f"k{i} AS (SELECT {c}, 1 / sqrt(count(*) / n::DOUBLE * (1 - count(*) / n::DOUBLE) * n / (n - 1)) AS v{i} FROM loan, (SELECT count(*) AS n FROM loan) GROUP BY {c}, n)" for i, c in enumerate(CATEGORICAL))
+ORACLES["feature_vectors"] = f"""WITH {LOAN}, m AS (SELECT {_FILL} FROM loan), s AS (SELECT {_SPREAD} FROM loan, m), {_HOT},
+w AS (SELECT {len(NUMERIC)} + {' + '.join(f'(SELECT count(DISTINCT {c}) FROM loan) + 1' for c in CATEGORICAL)} AS n_slots)
+SELECT SK_ID_CURR, CAST(n_slots AS INT) AS n_slots, round({_SLOTS} + {' + '.join(f'v{i}' for i in range(len(CATEGORICAL)))}, 4) AS total
+FROM loan {' '.join(f'JOIN k{i} USING ({c})' for i, c in enumerate(CATEGORICAL))} CROSS JOIN m CROSS JOIN s CROSS JOIN w"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from ..functions import features, scoring
 from ..operators import aggregates, eda, ml, portfolio, statistics
 from ..sources import tables as sources
 from ..sources.kafka import decision_tally, decode, encode
+from ..sources.scratch import scratch
 from ..streaming import jobs
 from . import loanbook
 
@@ -122,14 +121,14 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and positives of a 70 / 15 / 15 split by hash of the key."""
+    """Rows and positives of a 70 / 15 / 15 split by digest of the key."""
     return features.hash_split(loanbook.loans(spark, d), "SK_ID_CURR").groupBy("split").agg(F.count("*").alias("n"), F.sum("TARGET").alias("n_positive"))
 
 
 @query
 def sample_rows(spark: SparkSession, d: str) -> DataFrame:
     """A tenth of the loans: a sampling operator."""
-    return loanbook.loans(spark, d).sample(fraction=0.1, seed=42)
+    return features.hash_sample(loanbook.loans(spark, d), "SK_ID_CURR", 0.1).select("SK_ID_CURR", "TARGET", "AMT_CREDIT")
 
 
 @query
@@ -287,7 +286,7 @@ def class_histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = loanbook.loans(spark, d).selectExpr("TARGET", "EXT_SOURCE_2", "-DAYS_BIRTH AS AGE_DAYS", "AMT_CREDIT")
     out = eda.class_histogram(rows, "TARGET", ["EXT_SOURCE_2", "AGE_DAYS", "AMT_CREDIT"])
     # The area under a class's bars is 1; densities of amounts are tiny.
-    return out.withColumn("density", F.round(F.col("density") * 1e6, 3))
+    return rounded(out, 12, "density")
 
 
 @query
@@ -322,16 +321,6 @@ def kafka_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return decision_tally(encode(scored))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where one machine is all there is."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-    return folder.rstrip("/")
-
-
 def _small_gbt() -> dict:
     return {"maxIter": 5, "maxDepth": 3, "subsamplingRate": 0.8}
 
@@ -341,7 +330,7 @@ def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Size and sum of each loan's assembled vector."""
     from pyspark.ml.functions import vector_to_array
 
-    _, out = ml.fit_and_transform(ml.preprocessing(NUMERIC, CATEGORICAL), loanbook.loans(spark, d))
+    _, out = ml.fit_and_transform(loanbook.loans(spark, d), NUMERIC, CATEGORICAL)
     v = vector_to_array("features")
     return out.select("SK_ID_CURR", F.size(v).alias("n_slots"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
@@ -366,21 +355,19 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Three models, stored and loaded again, by their area under the ROC curve."""
     loans = features.hash_split(loanbook.loans(spark, d), "SK_ID_CURR")
     part = loans.where("split = 0")
-    folder = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
     models = {
         "logistic": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "logistic", maxIter=10),
         "random_forest": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "random_forest", numTrees=5, maxDepth=4),
         "gbt": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "gbt", **_small_gbt()),
     }
-    stored = {name: ml.save_model(model, folder, name) for name, model in models.items()}
-    return ml.compare_models(stored, loans.where("split = 2"), "TARGET")
+    with scratch(spark) as area:
+        stored = {name: ml.save_model(model, area.path, name) for name, model in models.items()}
+        return ml.compare_models(stored, loans.where("split = 2"), "TARGET")
 
 
 @query
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     children = {n: aggregates.CHILDREN[n](f(spark, d)) for n, f in loanbook.CHILDREN.items()}
-    # Each aggregate is read in several runs, so it is written once.
-    children = sources.materialised(children, _shared_folder(spark))
     loans = features.hash_split(loanbook.loans(spark, d), "SK_ID_CURR")
     ids = loans.select("SK_ID_CURR", "split")
     return ml.ablation(loans.drop("split"), children, ids.where("split = 0").drop("split"), ids.where("split = 2").drop("split"), "TARGET", NUMERIC, "logistic", maxIter=5)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -49,15 +48,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def materialised(frames: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Each frame written once under a new folder, and read again for any number of uses."""
-    base, out = f"{folder.rstrip('/')}/{uuid.uuid4().hex}", {}
-    for name, df in frames.items():
-        df.write.parquet(f"{base}/{name}")
-        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{base}/{name}")
-    return out
-
-
 def table_overview(tables: Mapping[str, DataFrame]) -> DataFrame:
     """table_name, n_rows, n_columns of each table."""
     parts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns")) for name, df in tables.items()]

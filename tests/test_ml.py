@@ -1,11 +1,17 @@
 """Training, evaluation, stored versions and ablation."""
 
+import math
+import os
+
+import numpy as np
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from lendspark import registry
 from lendspark.functions import features
 from lendspark.operators import ml
+from lendspark.sources.scratch import shared_folder
 
 DIR = "/root/testdata/sf0.001"
 
@@ -38,7 +44,7 @@ def test_grid_takes_what_the_estimator_has(spark):
 def test_cross_validation_fits_preprocessing_in_the_folds(spark, rows):
     model = ml.train(rows, ["good", "noise"], ["kind"], "y", "logistic", grid={"regParam": [0.01, 50.0]}, folds=2, maxIter=20)
     assert ml.best_params(model, ["regParam", "maxIter", "maxDepth"]) == {"regParam": 0.01, "maxIter": 20}
-    assert len(model.stages) == 6  # imputer, indexer, encoder, assembler, scaler, classifier
+    assert len(model.stages) == 6  # filler, indexer, encoder, assembler, scaler, classifier
     row = ml.evaluate(ml.scores(model, rows), "y").first()
     assert row["roc_auc"] == 1.0 and row["promoted"] and row["ks_statistic"] == 1.0
 
@@ -65,8 +71,56 @@ def test_feature_columns(spark, rows):
     assert features.feature_columns(sparse, "y", ("id",)) == (["good", "noise"], ["kind"])
 
 
+def test_preprocessing_is_exact(spark, rows):
+    """Medians, order of categories and scales; unseen and missing values have a slot of their own."""
+    df = rows.withColumn("noise", F.when(F.col("id") % 50 == 0, math.nan).otherwise(F.col("noise"))).withColumn("blank", F.lit(None).cast("double"))
+    df = df.withColumn("kind", F.when(F.col("id") % 20 != 3, F.col("kind")))
+    table = {(r["feature"], r["value"]): r for r in ml.preprocessing_table(df, ["noise", "blank"], ["kind"]).collect()}
+    x = np.array([r["noise"] if r["noise"] is not None else math.nan for r in df.select("noise").collect()], dtype=float)
+    median = np.nanmedian(x)
+    assert table["noise", None]["fill"] == median and table["noise", None]["scale"] == pytest.approx(np.std(np.where(np.isnan(x), median, x), ddof=1))
+    assert (table["blank", None]["fill"], table["blank", None]["scale"]) == (0.0, 0.0)
+    kinds = [r["kind"] for r in df.select("kind").collect()]
+    order = sorted({k for k in kinds if k}, key=lambda k: (-kinds.count(k), k))
+    assert [v for (f, v), r in sorted(table.items(), key=lambda e: e[1]["position"]) if f == "kind"] == [*order, None]
+    _, out = ml.fit_and_transform(df, ["noise", "blank"], ["kind"])
+    vectors = out.select("kind", "noise", "features").collect()
+    for r, v in zip(vectors, x, strict=True):
+        slot = 2 + (order.index(r["kind"]) if r["kind"] else len(order))
+        hot = [(k == r["kind"]) for k in kinds]
+        want = {0: (median if math.isnan(v) else v) / table["noise", None]["scale"], slot: 1 / np.std(hot, ddof=1)}
+        assert r["features"].size == 3 + len(order) and {i: w for i, w in enumerate(r["features"]) if w} == pytest.approx({i: w for i, w in want.items() if w})
+    model, _ = ml.fit_and_transform(df, ["noise"], ["kind"])
+    unseen = model.transform(spark.createDataFrame([(None, "never")], "noise double, kind string")).first()["features"]
+    assert unseen[len(order) + 1] > 0
+
+
+def test_metrics_equal_mllib(spark, rows):
+    """All of them come from one written table; MLlib's evaluators, which read the model's output seven times, say the same."""
+    made = rows.withColumn("y", F.when(F.xxhash64("id") % 5 == 0, 1 - F.col("y")).otherwise(F.col("y"))).cache()
+    for name, params in (("logistic", {"maxIter": 10}), ("random_forest", {"numTrees": 3, "maxDepth": 3})):
+        out = ml.scores(ml.train(made, ["good", "noise"], ["kind"], "y", name, **params), made)
+        got = ml.evaluate(out, "y").first()
+        out = out.select(F.col("y").cast("double").alias("y"), "rawPrediction", "probability", "prediction").cache()
+        for metric, own in (("areaUnderROC", "roc_auc"), ("areaUnderPR", "pr_auc")):
+            assert got[own] == pytest.approx(BinaryClassificationEvaluator(labelCol="y", metricName=metric).evaluate(out), abs=6e-5)
+        for metric, own in (("accuracy", "accuracy"), ("f1", "f1"), ("weightedPrecision", "weighted_precision"), ("weightedRecall", "weighted_recall")):
+            assert got[own] == pytest.approx(MulticlassClassificationEvaluator(labelCol="y", metricName=metric).evaluate(out), abs=6e-5)
+        assert 0.5 < got["roc_auc"] < 1
+
+
+def test_one_class_has_no_areas(spark, rows):
+    model = ml.train(rows, ["good"], [], "y", "logistic", maxIter=5)
+    row = ml.evaluate(ml.scores(model, rows.where("y = 1")), "y").first()
+    assert row["roc_auc"] is None and not row["promoted"] and 0 <= row["accuracy"] <= 1
+    none = ml.evaluate(ml.scores(model, rows.where("false")), "y").first()
+    assert none["accuracy"] is None and none["ks_statistic"] is None
+
+
 @pytest.mark.parametrize("name", ["train_metrics", "model_comparison", "ablation"])
 def test_model_queries(spark, name):
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
     out = registry.QUERIES[name](spark, DIR).collect()
+    assert set(os.listdir(shared_folder(spark).removeprefix("file:"))) <= before  # nothing is left behind
     assert {"train_metrics": 1, "model_comparison": 3, "ablation": 7}[name] == len(out)
     assert all(0 <= r["ks_statistic"] <= 1 and 0.3 <= r["roc_auc"] <= 1 for r in out)

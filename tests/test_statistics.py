@@ -1,5 +1,6 @@
 """Hand-computed cases and properties of the statistics."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,9 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lendspark.functions import scoring, stats
+from lendspark.functions import features, scoring, stats
 from lendspark.functions.features import add_domain_features
-from lendspark.operators import portfolio, ranks, statistics
+from lendspark.operators import eda, portfolio, ranks, statistics
 from lendspark.sources.scratch import scratch
 
 
@@ -55,10 +56,57 @@ def test_tail_probabilities(spark):
 def test_js_bounds(spark):
     a, b = spark.createDataFrame([("a",)] * 3, "c string"), spark.createDataFrame([("b",)] * 3, "c string")
     row = statistics.categorical_drift(a, b, ["c"]).first()
-    assert row["js"] == pytest.approx(math.sqrt(math.log(2)), abs=1e-4) and row["new_categories"] == "b"
+    assert row["js"] == pytest.approx(math.sqrt(math.log(2)), abs=1e-4) and (row["n_new"], row["new_categories"]) == (1, "b=3")
     assert statistics.categorical_drift(a, a, ["c"]).first()["js"] == 0
 
 
+def test_many_new_categories_stay_one_short_row(spark):
+    old = spark.createDataFrame([("a",)] * 3, "c string")
+    new = spark.range(100_000).select(F.concat(F.lit("n"), F.col("id")).alias("c")).unionByName(spark.createDataFrame([("n7",), ("n9",), ("n9",)], "c string"))
+    row = statistics.categorical_drift(old, new, ["c"]).first()
+    assert row["n_new"] == 100_000 and row["new_categories"].split(",")[:3] == ["n9=3", "n7=2", "n0=1"] and len(row["new_categories"].split(",")) == statistics.NAMED
+    assert statistics.new_categories(old, new, ["c"]).count() == 100_000
+
+
+def test_categorical_columns_skip_what_has_many_values(spark):
+    df = spark.range(30_000).select(
+        F.col("id").cast("string").alias("many"), F.concat(F.lit("k"), F.col("id") % 20).alias("at most"), F.concat(F.lit("k"), F.col("id") % 21).alias("more"),
+        F.when(F.col("id") % 2 == 0, "x").alias("half"), F.lit("one").alias("one"), F.lit(None).cast("string").alias("none"), "id",
+    )
+    out = features.categorical_columns(df)
+    assert {tuple(r) for r in out.collect()} == {("at most", 20), ("half", 2)}
+    assert "Expand" not in df.agg(F.collect_set("half"))._jdf.queryExecution().toString()
+    assert features.categorical_columns(df.select("id")).count() == 0 and features.categorical_columns(df.where("false")).count() == 0
+
+
+def test_correlations_of_a_wide_table(spark):
+    """161 columns: nulls by pair, constant and empty columns, far-off means."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 161)) @ rng.normal(size=(161, 161)) + 1e7 * rng.integers(0, 3, 161)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 5], x[:, 6] = 3.0, np.nan
+    names = [f"c{k}" for k in range(161)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and k % 2 else float(v) for k, v in enumerate(r)) for r in x], ", ".join(f"{c} double" for c in names))
+    got = {(r["a"], r["b"]): r["corr"] for r in eda.correlations(df, names).collect()}
+    assert len(got) == 161 * 162 // 2 - 161  # pairs without common rows are left out
+    for i, j in [(0, 1), (3, 160), (64, 63), (63, 64), (70, 128), (159, 160), (10, 10), (5, 9), (5, 5)]:
+        if i <= j:
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want = None if 5 in (i, j) else np.corrcoef(x[ok, i], x[ok, j])[0, 1]
+            assert got[names[i], names[j]] == (want if want is None else pytest.approx(want, abs=1e-7))
+
+
+def test_splits_and_samples_follow_the_key(spark):
+    df = spark.range(20_000).withColumn("key", F.when(F.col("id") > 0, F.col("id")))
+    split = {r["split"]: r["count"] for r in features.hash_split(df, "key").groupBy("split").count().collect()}
+    assert split[0] == pytest.approx(14_000, rel=0.05) and split[1] == pytest.approx(3_000, rel=0.1) and sum(split.values()) == 20_000
+    digest = int(hashlib.md5(b"7:42").hexdigest()[:8], 16)
+    assert features.hash_split(df.where("id = 7"), "key").first()["split"] == next(k for k, e in enumerate((70, 85, 100)) if digest * 100 >> 32 < e)
+    sample = {r["id"] for r in features.hash_sample(df, "key", 0.1).collect()}
+    assert len(sample) == pytest.approx(2_000, rel=0.1) and sample == {r["id"] for r in features.hash_sample(df.repartition(7), "key", 0.1).collect()}
+    assert sample <= {r["id"] for r in features.hash_sample(df, "key", 0.3).collect()}
+
+
 def test_retraining(spark):
     def action(*psis):
         report = spark.createDataFrame([(f"f{k}", float(p)) for k, p in enumerate(psis)], "feature string, psi double")

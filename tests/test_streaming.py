@@ -97,3 +97,13 @@ def test_sources(spark, tmp_path):
     tables.write_parquet(df, str(tmp_path / "p"), "id")
     tables.write_report(df, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2 and spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_any_uri(spark, tmp_path):
+    """Tables and reports take URIs of any Hadoop file system, here file:."""
+    uri = (tmp_path / "t").as_uri()
+    tables.write_parquet(spark.range(5), f"{uri}/rows")
+    tables.write_report(spark.range(1), f"{uri}/report")
+    assert tables.load_table(spark, {"rows": {"path": f"{uri}/rows", "format": "parquet", "required": True}}, "rows").count() == 5
+    assert tables.load_table(spark, {"gone": {"path": f"{uri}/gone", "format": "parquet"}}, "gone") is None
+    assert spark.read.json(f"{uri}/report").first()["id"] == 0
