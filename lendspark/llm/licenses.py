@@ -1,9 +1,8 @@
 """Licence scan by a positional rare-token index.
 
-Licence templates are passages of licences. Their words that are rare in the
-corpus, with the positions at which they stand, are the index (postings). A
-file is looked up, template by template, by those of its words that are rarest:
-each of their occurrences votes, for every posting of the word, for a relative
+Licence templates are passages of licences. Their words, with the positions at
+which they stand and their IDF in the corpus, are the index (postings). A file
+is looked up, template by template, by those of its words that are rarest: each of their occurrences votes, for every posting of the word, for a relative
 position of file and template. A template whose rare words agree on one
 relative position is a candidate; it is found if its key phrase stands in the
 file. All steps are DataFrame expressions.
@@ -147,15 +146,9 @@ def _if_all(known: Column, phrase: list[str], value: Column) -> Column:
     return F.when(functools.reduce(lambda a, b: a & b, [F.array_contains(known, w) for w in dict.fromkeys(phrase)]), value)
 
 
-#: Words in more than this share of all files, and in more than so many, aren't rare.
-COMMON_SHARE, COMMON_FILES = 0.1, 20
-
-
-def rare_words(df: dict[str, int], n: int) -> list[list[str]]:
-    """Each template's words that are rare among ``n`` files, of which ``df`` have a
-    word: those of highest IDF, that is of lowest df, first, ties by the word."""
-    rare = lambda w: df.get(w, 0) <= max(COMMON_SHARE * n, COMMON_FILES)
-    return [sorted({w for w in passage.split() if rare(w)}, key=lambda w: (df.get(w, 0), w)) for _, _, passage in TEMPLATES]
+def by_idf(df: dict[str, int]) -> list[list[str]]:
+    """Each template's words by falling IDF, that is by rising number of files that have them (``df``), ties by the word."""
+    return [sorted(set(passage.split()), key=lambda w: (df.get(w, 0), w)) for _, _, passage in TEMPLATES]
 
 
 def scan(docs: DataFrame, rarest: int = 8, least_votes: int = 3) -> DataFrame:
@@ -166,9 +159,10 @@ def scan(docs: DataFrame, rarest: int = 8, least_votes: int = 3) -> DataFrame:
     smallest and largest of their starts (else null), base_labels their labels.
     labels adds those of the templates found: of the ``rarest`` words of highest
     IDF (over all files) that file and template share, at least ``least_votes``
-    agree on one relative position, and the key phrase stands in the file. Each
-    template is looked up on its own, so a file may hold any number of
-    licences. score is the largest share of a found template's looked-up words
+    agree on one relative position, and the key phrase stands in the file. IDF
+    orders words, and none is too common, so a licence that every file has is
+    found in every file. Each template is looked up on its own, where all words
+    of its key phrase stand, so a file may hold any number of licences. score is the largest share of a found template's looked-up words
     that agree, 1 for a base phrase. Null or empty text: no words, no labels, score 0. Equal rows are
     scanned alike, rows of one doc_id with other texts on their own.
     """
@@ -180,22 +174,23 @@ def scan(docs: DataFrame, rarest: int = 8, least_votes: int = 3) -> DataFrame:
     # The vocabulary is fixed, so its counts are a bounded table.
     known = docs.select(F.explode(F.array_append(F.array_intersect(words, array(vocabulary)), F.lit(""))).alias("w"))
     df = {r["w"]: r["n"] for r in known.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    index = rare_words(df, df.get("", 0))
+    index = by_idf(df)
     wanted = [max(1, min(least_votes, len(ws))) for ws in index]
     files = docs.select("doc_id", F.xxhash64(text).alias("h"), words.alias("ws"))
-    files = files.withColumn("known", F.array_intersect("ws", array(sorted({w for ws in index for w in ws} | {w for phrase in BASE for w in phrase.split()}))))
+    files = files.withColumn("known", F.array_intersect("ws", array(sorted({*vocabulary, *(w for phrase in BASE for w in phrase.split())}))))
     nothing = F.expr("cast(array() as array<int>)")
     for phrase, label in BASE.items():
         files = files.withColumn(f"at_{label}", F.coalesce(_if_all(F.col("known"), phrase.split(), _starts(F.col("ws"), phrase.split())), nothing))
     # The words to look up, by template; occurrences are listed in files that have enough of one template's.
-    chosen = lambda known: F.array(*[F.slice(F.array_intersect(array(ws), known), 1, rarest) if ws else F.slice(known, 1, 0) for ws in index])
+    none = F.expr("cast(array() as array<string>)")
+    chosen = lambda known: F.array(*[F.coalesce(_if_all(known, key.split(), F.slice(F.array_intersect(array(ws), known), 1, rarest)), none) for ws, (_, key, _) in zip(index, TEMPLATES, strict=True)])
     enough = lambda rare: functools.reduce(lambda a, b: a | b, [F.size(rare[t]) >= m for t, m in enumerate(wanted)])
     rare = let(F.when(F.size("known") >= min(wanted), chosen(F.col("known"))), lambda r: F.when(enough(r), r))
     spots = lambda r: F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda o: F.array_contains(r, o["w"]))
     looked_up = let(rare, lambda r: F.when(r.isNotNull(), F.struct(r.alias("rare"), let(F.array_distinct(F.flatten(r)), spots).alias("occ"))))
     starts = [f"at_{label}" for label in BASE.values()]
     files = written(files.select("doc_id", "h", F.size("ws").cast("long").alias("n_words"), *starts, looked_up.alias("look")), "licence-words")
-    postings = [(w, t, p) for t, (_, _, passage) in enumerate(TEMPLATES) for p, w in enumerate(passage.split()) if w in index[t]]
+    postings = [(w, t, p) for t, (_, _, passage) in enumerate(TEMPLATES) for p, w in enumerate(passage.split())]
     table = docs.sparkSession.createDataFrame(postings, "w string, t int, tp int")
     hits = files.where("look is not null").select("doc_id", "h", F.col("look.rare").alias("rare"), F.inline("look.occ")).join(F.broadcast(table), "w")
     hits = hits.withColumn("rare", F.element_at("rare", F.col("t") + 1)).where(F.array_contains("rare", F.col("w")))
