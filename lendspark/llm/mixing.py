@@ -15,14 +15,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, uniform, written
+from .common import free_name, n_words, uniform, written
+
+#: Quality weights reach from this to 1. Ranges of keys are even for documents of this weight; others crowd at most four to one.
+LEAST_WEIGHT = 0.25
 
 
 def quality_weight(text: Column) -> Column:
     """0.25 to 1: how much of a text is letters, digits and white space."""
     text = F.coalesce(text, F.lit(""))
     plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", ""))
-    return F.lit(0.25) + F.lit(0.75) * plain / F.greatest(F.length(text), F.lit(1))
+    return F.lit(LEAST_WEIGHT) + F.lit(1 - LEAST_WEIGHT) * plain / F.greatest(F.length(text), F.lit(1))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most_epochs: float) -> DataFrame:
@@ -87,21 +90,22 @@ def mix(
     size = n_words("text") if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
     luck = uniform(F.lit(seed), F.col("doc_id"), F.xxhash64("text")) if luck is None else luck
-    rows = docs.select(*names, size.cast("long").alias("size"), (-F.log(luck) / weight).alias("__key"))
-    bucket = F.least(F.floor(F.lit(buckets) * (1 - F.exp(-F.col("__key")))), F.lit(buckets - 1)).cast("int")
+    key, b, s, c, n, t, before_, within_ = (free_name(f"__{x}", docs) for x in ("key", "b", "s", "c", "n", "t", "before", "within"))
+    rows = docs.select(*names, size.cast("long").alias("size"), (-F.log(luck) / weight).alias(key))
+    bucket = F.least(F.floor(F.lit(buckets) * (1 - F.exp(-F.col(key) * LEAST_WEIGHT))), F.lit(buckets - 1)).cast("int")
     # Texts are measured once; all that follows reads narrow rows.
-    rows = written(rows.withColumn("__b", bucket), "measured")
-    ranges = rows.groupBy(F.col("source").alias("__s"), F.col("__b").alias("__c")).agg(F.sum("size").alias("__n"))
-    targets = source_targets(ranges.groupBy(F.col("__s").alias("source")).agg(F.sum("__n").alias("source_size")), weights, share, most_epochs)
-    before = Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("__s", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    targets = targets.withColumnRenamed("source", "__t")
-    ranges = ranges.join(targets, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
-    within = Window.partitionBy("source", "__b").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")))
+    rows = written(rows.withColumn(b, bucket), "measured")
+    ranges = rows.groupBy(F.col("source").alias(s), F.col(b).alias(c)).agg(F.sum("size").alias(n))
+    targets = source_targets(ranges.groupBy(F.col(s).alias("source")).agg(F.sum(n).alias("source_size")), weights, share, most_epochs)
+    before = Window.partitionBy(s).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(s, c, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(before_))
+    targets = targets.withColumnRenamed("source", t)
+    ranges = ranges.join(targets, F.col(s).eqNullSafe(F.col(t))).drop(t)
+    within = Window.partitionBy("source", b).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(within_, F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col(s)) & (F.col(b) == F.col(c)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
-    chosen = (F.col("__before") + F.col("__within") + F.col("size") / 2 < rest).cast("long")
+    chosen = (F.col(before_) + F.col(within_) + F.col("size") / 2 < rest).cast("long")
     taken = F.col("size") * (epochs + chosen)
     return rows.select(*names, "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import columns, free_name, written
 
 #: Fixed values of the published algorithm's generator and of its arithmetic.
 MULTIPLIER = 2862933555777941757
@@ -62,14 +62,15 @@ def number_slots(df: DataFrame, key: str, shard: str = "shard", out: str = "slot
     elsewhere. Columns of ``df`` called like ``out`` are replaced.
     """
     order = [shard, key, *ties]
-    rows = df.drop(out).withColumn("__any", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(*order, "__any").sortWithinPartitions(*order, "__any")
+    any_, at, range_, s, r, n, first, before_ = (free_name(f"__{x}", df) for x in ("any", "at", "range", "s", "r", "n", "first", "before"))
+    rows = df.drop(out).withColumn(any_, F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order, any_).sortWithinPartitions(*order, any_)
     # The number of the range, and under its lowest 33 bits the row's place in it.
-    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()).drop("__any"), "ranges")
-    rows = rows.withColumn("__range", F.shiftright("__at", 33))
-    sizes = rows.groupBy(F.col(shard).alias("__s"), F.col("__range").alias("__r")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__s", "__r", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = written(rows.withColumn(at, F.monotonically_increasing_id()).drop(any_), "ranges")
+    rows = rows.withColumn(range_, F.shiftright(at, 33))
+    sizes = rows.groupBy(F.col(shard).alias(s), F.col(range_).alias(r)).agg(F.count("*").alias(n), F.min(at).alias(first))
+    before = Window.partitionBy(s).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(s, r, first, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(before_))
     # As many rows as tasks, and one more for each shard that begins within a range.
-    rows = rows.join(F.broadcast(sizes), (F.col(shard) == F.col("__s")) & (F.col("__range") == F.col("__r")))
-    return rows.withColumn(out, F.col("__before") + F.col("__at") - F.col("__first")).select(*columns(df.drop(out)), out)
+    rows = rows.join(F.broadcast(sizes), (F.col(shard) == F.col(s)) & (F.col(range_) == F.col(r)))
+    return rows.withColumn(out, F.col(before_) + F.col(at) - F.col(first)).select(*columns(df.drop(out)), out)

@@ -193,6 +193,30 @@ def test_mixing_takes_the_smallest_keys(spark):
             at += r["size"]
 
 
+HIDDEN = ("any", "at", "range", "s", "r", "n", "first", "before", "key", "b", "c", "t", "within")
+
+
+def test_hidden_names_may_be_taken(spark):
+    """Columns called like the operators' own helpers pass through."""
+    rows = docs(spark, [(k, "word " * (k % 7), f"s{k % 3}") for k in range(60)])
+    taken = rows.withColumns({f"__{x}": F.lit(x) for x in HIDDEN})
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(rows).collect()}
+    mixed = mixing.mix(taken).collect()
+    assert {r["doc_id"]: r["taken"] for r in mixed} == plain and all(r[f"__{x}"] == x for r in mixed for x in HIDDEN)
+    slots = sharding.number_slots(sharding.assign_shards(taken, "doc_id", 4), "doc_id").collect()
+    assert all(r[f"__{x}"] == x for r in slots for x in HIDDEN)
+    assert {(r["shard"], r["slot"]) for r in slots} == {(s, i) for s in range(4) for i in range(sum(r["shard"] == s for r in slots))}
+
+
+def test_ranges_of_keys_are_even(spark):
+    """Low quality doesn't crowd the last range."""
+    luck = (F.col("id") + 0.5) / 100_000
+    for weight in (0.25, 1.0):
+        key = -F.log(luck) / weight
+        n = spark.range(100_000).groupBy(F.floor(F.lit(64) * (1 - F.exp(-key * mixing.LEAST_WEIGHT)))).count().agg(F.max("count")).first()[0]
+        assert n <= 4 * 100_000 / 64 + 2
+
+
 def license_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
