@@ -224,8 +224,8 @@ def evaluate_models(models: Mapping, df: DataFrame, target: str) -> dict:
     rows, names = df.select("*", F.col(target).alias("__target")), list(models)
     for k, name in enumerate(names):
         out = models[name].transform(rows)
-        rows = out.select(*rows.columns, _verdict(out).alias(f"v{k}"))
-    return _measures(rows, "__target", names)
+        rows = out.select(*rows.columns, _verdict(out).alias(f"__v{k}"))
+    return _measures(rows.select("__target", *[F.col(f"__v{k}").alias(f"v{k}") for k in range(len(names))]), "__target", names)
 
 
 #: Columns of a row of metrics.
