@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from ..sources.scratch import Scratch
 ACCURACY, SLACK = 20_000, 2e-4
 #: Features of fewer values than that are counted whole: a bracket may be narrower than a rank there.
 WHOLE = 20_000
+#: The same for medians, of which a table has many.
+MEDIAN_ACCURACY, MEDIAN_SLACK = 4_000, 1e-3
 #: A round at the ninth digit moves an edge by less than that.
 NEAR = 1e-8
 
@@ -132,3 +134,29 @@ def quantile_counts(rows: DataFrame, group: str, bins: int, area: Scratch, first
         if not missed:
             return counts.select("feature", "value", "c0", "c1"), {f: [found[f][k] for k in range(bins + 1)] for f in found}
         brackets |= {f: [[float("-inf"), float("inf")]] for f in missed}
+
+
+def median_moments(df: DataFrame, names: Sequence[str], area: Scratch) -> dict[str, tuple[int, float, float, float]]:
+    """By column: number of values, exact median, mean and sum of squared differences from it, in two readings of ``df``.
+
+    Null and NaN are left out, and columns without values. One reading takes
+    the moments and a sketch that brackets the median; the other counts what
+    lies below each bracket as one value, what lies in it value by value.
+    Should a median lie outside its bracket, its column is counted as a whole.
+    """
+    numbers = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(str(k)) for k, c in enumerate(names)])
+    long = lambda wide: wide.unpivot([], wide.columns, "feature", "value").where("value is not null")
+    at = F.percentile_approx("value", F.array(F.lit(0.5 - MEDIAN_SLACK), F.lit(0.5 + MEDIAN_SLACK)), MEDIAN_ACCURACY)
+    sketch = {r["feature"]: r for r in long(numbers).groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), at.alias("at")).collect()}
+    everything = (float("-inf"), float("inf"))
+    brackets = {f: (r["at"][0] - NEAR, r["at"][1] + NEAR) if r["n"] >= WHOLE else everything for f, r in sketch.items()}
+    medians: dict[str, float] = {}
+    while brackets:
+        inside = [F.when(F.col(f) < low, float("-inf")).when(F.col(f) <= high, F.col(f)).alias(f) for f, (low, high) in brackets.items()]
+        counts = area.written(long(numbers.select(*inside)).groupBy("feature", "value").agg(F.count("*").alias("c")))
+        before = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = df.sparkSession.createDataFrame([(f, sketch[f]["n"]) for f in brackets], "feature string, n long")
+        found = pick_quantiles(counts.withColumn("b", _zero(F.sum("c").over(before))), sizes, 2)
+        medians |= {f: found[f][1] for f, b in brackets.items() if 1 in found.get(f, ()) and (b == everything or found[f][1] > b[0])}
+        brackets = {f: everything for f in brackets if f not in medians}
+    return {names[int(f)]: (r["n"], medians[f], r["mean"], r["var"] * r["n"]) for f, r in sketch.items()}

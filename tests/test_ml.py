@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lendspark import registry
 from lendspark.functions import features
-from lendspark.operators import ml
-from lendspark.sources.scratch import shared_folder
+from lendspark.operators import ml, ranks
+from lendspark.sources.scratch import scratch, shared_folder
 
 DIR = "/root/testdata/sf0.001"
 
@@ -117,6 +117,45 @@ def test_one_class_has_no_areas(spark, rows):
     assert none["accuracy"] is None and none["ks_statistic"] is None
 
 
+def counted(spark, rows, name):
+    """``rows`` with a column worked out in Python, and how often that was."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    return rows.withColumn(name, F.udf(same, "double")(name)), seen
+
+
+def test_preprocessing_reads_numbers_twice(spark, rows):
+    df, seen = counted(spark, rows.select("good"), "good")
+    ml.preprocessing_table(df, ["good"], [])
+    assert seen.value == 2 * rows.count()
+
+
+def test_medians_from_brackets_are_exact(spark, monkeypatch):
+    """Ties, negative values, even and odd numbers; a bracket that misses is noticed."""
+    n = 3001
+    df = spark.range(n).select(
+        (F.xxhash64("id") % 1000 / 7).alias("many"),
+        F.when(F.col("id") % 2 == 0, F.xxhash64("id") % 3).cast("double").alias("ties"),
+        F.when(F.col("id") % 4 > 0, (F.xxhash64("id") % 10**6).cast("double")).otherwise(math.nan).alias("holes"),
+        F.when(F.col("id") % 3 > 0, -5.0).otherwise(F.col("id").cast("double")).alias("below"),
+    )
+    x = {c: np.array([r[c] if r[c] is not None else math.nan for r in df.select(c).collect()], dtype=float) for c in df.columns}
+    monkeypatch.setattr(ranks, "WHOLE", 10)
+    for accuracy, slack in ((4_000, 1e-3), (3, 0.0)):
+        monkeypatch.setattr(ranks, "MEDIAN_ACCURACY", accuracy)
+        monkeypatch.setattr(ranks, "MEDIAN_SLACK", slack)
+        with scratch(spark) as area:
+            got = ranks.median_moments(df, df.columns, area)
+        for c, v in x.items():
+            v = v[~np.isnan(v)]
+            assert got[c][:2] == (len(v), np.median(v))
+            assert got[c][2:] == (pytest.approx(v.mean()), pytest.approx(((v - v.mean()) ** 2).sum()))
+
+
 @pytest.mark.parametrize("name", ["train_metrics", "model_comparison", "ablation"])
 def test_model_queries(spark, name):
     before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
