@@ -156,6 +156,12 @@ def test_medians_from_brackets_are_exact(spark, monkeypatch):
             assert got[c][2:] == (pytest.approx(v.mean()), pytest.approx(((v - v.mean()) ** 2).sum()))
 
 
+def test_cross_validation_works_rows_out_once(spark, rows):
+    df, seen = counted(spark, rows, "good")
+    ml.train(df, ["good"], [], "y", "logistic", grid={"regParam": [0.01, 50.0]}, folds=2, maxIter=5)
+    assert seen.value == rows.count()
+
+
 @pytest.mark.parametrize("name", ["train_metrics", "model_comparison", "ablation"])
 def test_model_queries(spark, name):
     before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
