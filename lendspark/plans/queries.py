@@ -355,11 +355,8 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Three models, stored and loaded again, by their area under the ROC curve."""
     loans = features.hash_split(loanbook.loans(spark, d), "SK_ID_CURR")
     part = loans.where("split = 0")
-    models = {
-        "logistic": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "logistic", maxIter=10),
-        "random_forest": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "random_forest", numTrees=5, maxDepth=4),
-        "gbt": ml.train(part, NUMERIC, CATEGORICAL, "TARGET", "gbt", **_small_gbt()),
-    }
+    params = {"logistic": {"maxIter": 10}, "random_forest": {"numTrees": 5, "maxDepth": 4}, "gbt": _small_gbt()}
+    models = ml.train_several(part, NUMERIC, CATEGORICAL, {name: ml.classifier(name, "TARGET", **p) for name, p in params.items()})
     with scratch(spark) as area:
         stored = {name: ml.save_model(model, area.path, name) for name, model in models.items()}
         return ml.compare_models(stored, loans.where("split = 2"), "TARGET")

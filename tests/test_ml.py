@@ -156,6 +156,15 @@ def test_medians_from_brackets_are_exact(spark, monkeypatch):
             assert got[c][2:] == (pytest.approx(v.mean()), pytest.approx(((v - v.mean()) ** 2).sum()))
 
 
+def test_several_models_work_rows_out_once(spark, rows):
+    df, seen = counted(spark, rows, "good")
+    made = {"logistic": ml.classifier("logistic", "y", maxIter=5), "gbt": ml.classifier("gbt", "y", maxIter=2)}
+    models = ml.train_several(df, ["good", "noise"], ["kind"], made)
+    assert list(models) == list(made) and seen.value == rows.count()
+    alone = ml.train(rows, ["good", "noise"], ["kind"], "y", "logistic", maxIter=5)
+    assert models["logistic"].stages[-1].coefficients.toArray() == pytest.approx(alone.stages[-1].coefficients.toArray())
+
+
 def test_cross_validation_works_rows_out_once(spark, rows):
     df, seen = counted(spark, rows, "good")
     ml.train(df, ["good"], [], "y", "logistic", grid={"regParam": [0.01, 50.0]}, folds=2, maxIter=5)
