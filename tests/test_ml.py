@@ -178,3 +178,24 @@ def test_model_queries(spark, name):
     assert set(os.listdir(shared_folder(spark).removeprefix("file:"))) <= before  # nothing is left behind
     assert {"train_metrics": 1, "model_comparison": 3, "ablation": 7}[name] == len(out)
     assert all(0 <= r["ks_statistic"] <= 1 and 0.3 <= r["roc_auc"] <= 1 for r in out)
+
+
+@pytest.fixture
+def fits(monkeypatch):
+    """(classifier, iterations it took, rows) of every fit."""
+    seen, detached = [], ml.detached
+
+    def note(model, area):
+        seen.append((model, model.summary.totalIterations, model.summary.predictions.count()))
+        return detached(model, area)
+
+    monkeypatch.setattr(ml, "detached", note)
+    return seen
+
+
+def test_ablation_query_trains_to_the_end_on_all_loans(spark, fits):
+    """No fit is cut short, and every loan that isn't held out is trained on."""
+    registry.QUERIES["ablation"](spark, DIR).collect()
+    ids = features.hash_split(spark.read.parquet(f"{DIR}/orders.parquet"), "o_orderkey")
+    assert len(fits) == 7 and {n for _, _, n in fits} == {ids.where("split <> 2").count()}
+    assert all(ml.best_params(ml.PipelineModel([m]), list(ml.DEFAULTS["logistic"])) == ml.DEFAULTS["logistic"] and k < m.getMaxIter() for m, k, _ in fits)
