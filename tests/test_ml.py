@@ -199,3 +199,13 @@ def test_ablation_query_trains_to_the_end_on_all_loans(spark, fits):
     ids = features.hash_split(spark.read.parquet(f"{DIR}/orders.parquet"), "o_orderkey")
     assert len(fits) == 7 and {n for _, _, n in fits} == {ids.where("split <> 2").count()}
     assert all(ml.best_params(ml.PipelineModel([m]), list(ml.DEFAULTS["logistic"])) == ml.DEFAULTS["logistic"] and k < m.getMaxIter() for m, k, _ in fits)
+
+
+def test_train_metrics_query_tries_the_whole_grid(spark, fits):
+    """Six candidates in each of three folds, none cut short, and the best of them once more on all training rows."""
+    registry.QUERIES["train_metrics"](spark, DIR).collect()
+    tried = [(m.getRegParam(), m.getElasticNetParam()) for m, _, _ in fits]
+    whole = sorted((r, e) for r in (0.001, 0.01, 0.1) for e in (0.0, 0.5))
+    assert len(fits) == 19 and sorted(tried[:18]) == sorted(3 * whole) and tried[18] in whole
+    assert all(m.getMaxIter() == 100 and k < 100 for m, k, _ in fits)
+    assert sum(n for _, _, n in fits[:18]) == 6 * 2 * fits[18][2]  # each row is trained on in two folds
